@@ -6,17 +6,28 @@ import importlib
 
 # name of the query -> its module
 MODULES = {
+    "op3_decontamination": "suffix_decon",
+    "op4_ngram_jaccard": "parity_join",
+    "op6_language_id": "langid_viterbi",
     "op9_line_dedup": "line_bloom",
     "op10_quality_rules": "quality_rules",
 }
+# name of the query -> the SQL constant of its module
+SQL = {
+    "op3_decontamination": "OP3_SQL",
+    "op4_ngram_jaccard": "OP4_SQL",
+    "op9_line_dedup": "OP9_SQL",
+    "op10_quality_rules": "OP10_SQL",
+}
+
+
+def _of(name: str, attribute: str):
+    return getattr(importlib.import_module(f"{__package__}.{MODULES[name]}"), attribute)
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
+    return {name: _of(name, name) for name in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .line_bloom import OP9_SQL
-    from .quality_rules import OP10_SQL
-
-    return {"op9_line_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
+    return {name: _of(name, constant) for name, constant in SQL.items()}
