@@ -5,23 +5,32 @@ sets share cancel and the Hamming distance of two sketches never exceeds the set
 symmetric difference. For a size band the threshold bounds that difference by D.
 The sketch of a band is cut into parts; two sets that link differ in D parts at
 most. A part is kept as the XOR of a mixed code for each of its odd bits, which
-cancels just as the bits do, so a sketch of 2**32 bits a part needs 8 bytes a part.
-
-A document sends the D + 1 best of its parts: those with the most shingles outside a
-bounded set of frequent ones. The order depends on a part's content only, so of the
-parts that two linking sets share the best one is sent by both: no link is lost.
-
-Sets in one bucket are compared with its smallest document first. What that leaves
-apart is compared with the next documents of the bucket, in rounds of growing width,
-until every bucket lies in one component or all its pairs are tested. A round makes
-rows in proportion to the bucket, and groups of copies are closed by the first one.
-Equal sets are one class from the start.
+cancels just as the bits do, so a sketch of 2**63 bits a part needs 8 bytes a part.
+
+A document sends the D + 1 best of its parts, those with the most shingles. The order
+depends on a part's content only, so of the parts that two linking sets share the best
+one is sent by both. Shingles that a bounded sample finds frequent would fill buckets,
+so they are set apart; r is the number of the others:
+- sets with r > RARE * D send parts of the sketch of their other shingles only;
+- sets with r <= (RARE + 1) * D send each other shingle, and if r <= D parts of the
+  sketch of all shingles too, in wide buckets.
+If r of one set is above (RARE + 1) * D, that of a linking one is above RARE * D, and
+both send the first kind. Otherwise they share another shingle, which both send, or
+none: then the difference is r + r' + |f - f'| at least (f: frequent shingles), and
+only pairs of a wide bucket within that bound are tested. No link is lost, whatever
+the sample says.
+
+Each set is compared with the smallest document of most of its buckets first. While a
+bucket holds several components, its documents go on to the next partners, those with
+the most buckets in common first, in rounds that take more partners each time, until
+all pairs of the bucket are tested or it is one component. So a group of copies costs
+rows in proportion to its size, and no pair that could link is left out. Equal sets
+are one class from the start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +42,8 @@ from .shared import LAST_ID, release, table, written
 
 ROWS = 256  # in a chunk: a row's number and 56 bits of a shingle's hash share 64 bits
 BYTES = 1 << 20
+RARE = 2.5
 SPREAD = 1.4  # size of a band: largest over smallest
-WIDTH = 8  # documents of a bucket compared in the second round; doubles after each
 
 
 class Bands:
@@ -79,25 +88,51 @@ def shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np
             yield a + c, d - c, (key >> np.uint64(56)).astype(np.int64), key & np.uint64((1 << 56) - 1)
 
 
-def sketch(n: np.ndarray, row: np.ndarray, h: np.ndarray, band: np.ndarray, use: np.ndarray, bands: Bands, light: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of the best parts of each row's sketch in ``band`` of that row."""
+def sketch(rows: int, row: np.ndarray, h: np.ndarray, band: np.ndarray, use: np.ndarray, bands: Bands, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of the best parts of each used row's sketch in ``band`` of that row."""
     parts = np.where(use, bands.parts[band], 0)
     base = np.concatenate([[0], np.cumsum(parts)])
     mine = use[row]
-    row, h, light = row[mine], h[mine], light[mine]
+    row, h = row[mine], h[mine]
     bit = B.mix(h ^ B.mix(band[row].astype(np.uint64) + np.uint64(77)))
     part = ((bit >> np.uint64(32)) % parts[row].astype(np.uint64)).astype(np.int64) + base[row]
     parity = np.zeros(base[-1], np.uint64)
     np.bitwise_xor.at(parity, part, B.mix(bit | np.uint64(1 << 63)))
-    score = np.bincount(part[light], minlength=base[-1]) * 64 + np.minimum(np.bincount(part, minlength=base[-1]), 63)
-    owner = np.repeat(np.arange(len(n)), parts)
-    code = B.mix(parity ^ B.mix((np.arange(base[-1]) - base[owner]).astype(np.uint64) + (band[owner].astype(np.uint64) << np.uint64(40))))
+    score = np.bincount(part, minlength=base[-1])
+    owner = np.repeat(np.arange(rows), parts)
+    code = _code(parity ^ B.mix((np.arange(base[-1]) - base[owner]).astype(np.uint64) + (band[owner].astype(np.uint64) << np.uint64(40))), wide)
     by = np.lexsort((code, -score, owner))
     rank = np.arange(base[-1]) - base[owner]
     sent = by[rank < bands.keep[band][owner]]
     return owner[sent], code[sent]
 
 
+def _code(x: np.ndarray, wide: bool) -> np.ndarray:
+    """A signature; its last bit says that its bucket is wide."""
+    return (B.mix(x) & ~np.uint64(1)) | np.uint64(wide)
+
+
+def signatures(rows: int, n: np.ndarray, r: np.ndarray, row: np.ndarray, h: np.ndarray, other: np.ndarray, use: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of everything that the used rows send; ``other``: not frequent."""
+    own, lowest = bands.of(np.maximum(n, 1)), bands.lowest(np.maximum(n, 1))
+    owner, code = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    few = np.zeros(rows, bool)
+    for down in range(int((own - lowest).max(initial=0)) + 1):
+        band = np.maximum(own - down, 0)
+        apart = bands.apart[band]
+        on = use & (own - down >= lowest) & (apart > 0)
+        for wide, chosen, mask in ((False, on & (r > RARE * apart), other), (True, on & (r <= apart), np.ones(len(h), bool))):
+            if chosen.any():
+                o, c = sketch(rows, row[mask], h[mask], band, chosen, bands, wide)
+                owner.append(o)
+                code.append(c)
+        few |= on & (r <= (RARE + 1) * apart)
+    single = other & few[row]
+    owner.append(row[single])
+    code.append(_code(h[single] ^ np.uint64(0x3C6EF372FE94F82B), False))
+    return np.concatenate(owner), np.concatenate(code)
+
+
 def _sketcher(k: int, bands: Bands, frequent_var):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = frequent_var.value
@@ -116,19 +151,14 @@ def _sketcher(k: int, bands: Bands, frequent_var):
                     if x in seen:
                         new[i] = False  # an equal set of this batch stands for it
                     seen.add(x)
-                light = ~frequent[(h & np.uint64(len(frequent) - 1)).astype(np.int64)]
-                own, lowest = bands.of(np.maximum(n, 1)), bands.lowest(np.maximum(n, 1))
-                made = []
-                for down in range(int((own - lowest).max(initial=0)) + 1):
-                    band = own - down
-                    use = new & (band >= lowest) & (bands.apart[np.maximum(band, 0)] > 0)
-                    made.append(sketch(n, row, h, np.maximum(band, 0), use, bands, light))
-                owner = np.concatenate([m[0] for m in made])
-                code = np.concatenate([m[1] for m in made])[np.argsort(owner, kind="stable")].view(np.int64)
+                other = ~frequent[(h & np.uint64(len(frequent) - 1)).astype(np.int64)]
+                r = np.bincount(row[other], minlength=rows)
+                owner, code = signatures(rows, n, r, row, h, other, new, bands)
+                code = code[np.argsort(owner, kind="stable")].view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, rows), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(code))],
-                    names=["owner", "n", "h1", "h2", "sigs"],
+                    [batch.column(0).slice(a, rows), pa.array(n), pa.array(r), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(code))],
+                    names=["owner", "n", "r", "h1", "h2", "sigs"],
                 )
 
     return run
@@ -147,7 +177,7 @@ def _sets(k: int):
 def frequent_shingles(texts: DataFrame, k: int, *, sample: int = 3000, least: int = 3, bits: int = 20) -> np.ndarray:
     """Marks, by hash, of shingles that several documents of a bounded sample hold.
 
-    Only the choice of the parts that are sent depends on it, never a result.
+    Only what is sent depends on it, never a result.
     """
     share = min(1.0, sample / max(1, texts.count()))
     some = texts.filter(F.pmod(F.xxhash64("owner", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
@@ -158,25 +188,53 @@ def frequent_shingles(texts: DataFrame, k: int, *, sample: int = 3000, least: in
     return marks
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    for k in range(0, len(nodes), 1 << 16):
+        some = nodes[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([find(x) for x in some], pa.int64())], names=["node", "label"])
+
+
+def components(edges: DataFrame, *, in_one_task: int = 500_000) -> DataFrame:
     """(node, label) with the smallest node of each connected component; edges (a, b).
 
-    Labels fall to the smallest neighbour's and then jump to their label's label,
-    so the number of rounds grows with the logarithm of the longest path.
+    Up to ``in_one_task`` edges are joined by one executor's task. With more, labels
+    fall to the smallest neighbour's and then jump to their label's label, so the
+    rounds grow with the logarithm of the longest path.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    edges = written(edges.select("a", "b").distinct(), "edges")
+    if edges.count() <= in_one_task:
+        labels = written(edges.coalesce(1).mapInArrow(_union_find, "node long, label long"), "labels")
+        release(edges)
+        return labels
+    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
         moved = written(step.join(up, "label").select("node", "old", F.least("label", "root").alias("label")), "labels")
         changed = moved.filter("label <> old").limit(1).count()
-        release(labels)
-        labels = moved
+        labels = moved.select("node", "label")
         if not changed:
-            release(both)
-            return labels.select("node", "label")
+            return labels
+
+
+def _best(votes: DataFrame, share: int) -> DataFrame:
+    """The ``share`` partners a of each b with the most buckets in common: (a, b)."""
+    by = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    return votes.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= share).select("a", "b")
 
 
 def _small(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
@@ -219,11 +277,11 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("owner"), "text")
     spark, bands = docs.sparkSession, Bands(num, den)
     frequent = spark.sparkContext.broadcast(frequent_shingles(texts, k, sample=sample))
-    made = written(texts.mapInArrow(_sketcher(k, bands, frequent), "owner long, n long, h1 long, h2 long, sigs array<long>"), "sketches")
+    made = written(texts.mapInArrow(_sketcher(k, bands, frequent), "owner long, n long, r long, h1 long, h2 long, sigs array<long>"), "sketches")
     classes = made.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("owner").alias("node"))
-    sets = made.select("owner", "n", "h1", "h2")
+    sets = made.select("owner", "n", "r", "h1", "h2")
     nodes = written(
-        sets.filter("n > 0").join(classes, ["n", "h1", "h2"]).select("owner", "n", "node").unionByName(sets.filter("n = 0").select("owner", "n", F.col("owner").alias("node"))),
+        sets.filter("n > 0").join(classes, ["n", "h1", "h2"]).select("owner", "n", "r", "node").unionByName(sets.filter("n = 0").select("owner", "n", "r", F.col("owner").alias("node"))),
         "nodes",
     )
     # a document with several sets joins their classes
@@ -232,51 +290,73 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
 
     sent = made.select("owner", F.explode("sigs").alias("sig"))
     repeated = sent.groupBy("sig").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).filter("first < last").select("sig")
-    to_node = nodes.filter("owner <> node").select("owner", "node").distinct()
-    members = sent.join(repeated, "sig").join(to_node, "owner", "left").select("sig", F.coalesce("node", "owner").alias("node"))
+    members = sent.join(repeated, "sig").join(nodes.filter("n > 0").distinct(), "owner").select("sig", "node", "n", "r")
     held = written(members, "members")
     release(made)
-    leaders = held.groupBy("sig").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("sig", "first")
+    # wide buckets go by the sets with the fewest other shingles, which are the most central
+    wide = F.col("sig").bitwiseAND(1) == 1
+    place = F.struct(F.when(wide, F.col("r")).otherwise(0).alias("at"), "node", "n", "r")
+    leaders = held.groupBy("sig").agg(F.min(place).alias("lead"), F.max("node").alias("last"), F.min("node").alias("first")).filter("first < last").select("sig", "lead")
     buckets = written(held.join(leaders, "sig").distinct(), "buckets")
     release(held)
 
+    def may_link(a: str, b: str):
+        """False for pairs of a wide bucket that share no other shingle if they link."""
+        f = lambda x: F.col(f"{x}n") - F.col(f"{x}r")
+        apart = F.col(f"{a}r") + F.col(f"{b}r") + F.abs(f(a) - f(b))
+        return ~wide | (apart * (num + den) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (den - num))
+
     join = _Join(texts, k, num, den)
-    pairs = written(buckets.filter("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b"), "pairs")
-    tested, found = pairs, same.unionByName(join.links(pairs))
+    # each document with the leader that most of its buckets have
+    votes = buckets.filter("node <> lead.node").filter(may_link("lead.", "")).groupBy(F.col("lead.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    tested = written(_best(votes, 1), "pairs")
+    found = same.unionByName(join.links(tested))
     labels = components(found)
-    done, width = 0, WIDTH
+    state, width, share = buckets.select("sig", "node", "n", "r"), 1, 1
     while True:
-        known = buckets.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-        open_ = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter(f"x < y and size > {done}").select("sig")
-        ranked = written(known.join(open_, "sig").withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("node"))), "open")
-        lead = ranked.filter(f"rank > {done} and rank <= {done + width}").select("sig", F.col("node").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra"))
-        rest = ranked.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), "rank")
-        fresh = lead.join(rest, "sig").filter("ra < rank and la <> lb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = written(fresh, "pairs")
-        release(ranked)
-        if fresh.limit(1).count():
-            tested = tested.unionByName(fresh)
-            new = join.links(fresh)
-            found = found.unionByName(new)
-            if new.limit(1).count():
-                labels = components(found)
-        elif not known.join(open_, "sig").limit(1).count():
+        known = state.join(labels, "node", "left").select("sig", "node", "n", "r", F.coalesce("label", "node").alias("label"))
+        open_ = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("sig")
+        ranked = written(known.join(open_, "sig").withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy(F.when(wide, F.col("r")).otherwise(0), "node", "n"))), "open")
+        largest = ranked.agg(F.max("rank")).first()[0]
+        if not largest:
             break
-        done, width = done + width, width * 2
+        state = ranked.select("sig", "node", "n", "r")
+        lead = ranked.filter(f"rank <= {width}").select("sig", F.col("node").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra"), F.col("n").alias("an"), F.col("r").alias("ar"))
+        rest = ranked.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), "rank", F.col("n").alias("bn"), F.col("r").alias("br"))
+        votes = lead.join(rest, "sig").filter("ra < rank and la <> lb").filter(may_link("a", "b")).groupBy("a", "b").agg(F.count("*").alias("n")).join(tested, ["a", "b"], "left_anti")
+        picked = written(_best(votes, share), "pairs")
+        if not picked.limit(1).count():
+            if width >= largest:
+                break
+            width *= 4
+            continue
+        tested = tested.unionByName(picked)
+        found = found.unionByName(join.links(picked))
+        labels = components(found)
+        share *= 2
     out = nodes.join(labels, "node", "left").select("owner", "n", F.coalesce("label", "node").alias("label"))
     back = lambda c: F.when(F.col(c) == LAST_ID, None).otherwise(F.col(c))
     return out.select(back("owner").alias("doc_id"), F.col("n").alias("n_shingles"), back("label").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest ``doc_id`` of their component, one row each.
+    """The rows of ``docs`` with the smallest ``doc_id`` of their component.
 
-    Rows without words and rows with a null ``doc_id`` that link with nothing stay.
+    Of rows that share a ``doc_id`` one stays, the first by text. Rows with a null
+    ``doc_id`` stay unless they link with a document that has one.
     """
-    found = similarity_classes(docs, **options)
+    found = written(similarity_classes(docs, **options), "found")
     gone = written(found.filter("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_gone")).distinct(), "gone")
     owner = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID))
-    return docs.join(_small(gone), owner == F.col("_gone"), "left_anti")
+    kept = docs.join(_small(gone), owner == F.col("_gone"), "left_anti")
+    twice = written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    if not twice.limit(1).count():
+        return kept
+    twice = _small(twice)
+    same = F.col("doc_id") == F.col("_twice")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).alias("_rank")
+    one = kept.join(twice, same, "left_semi").select("*", first).filter("_rank = 1").drop("_rank")
+    return kept.join(twice, same, "left_anti").unionByName(one)
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
