@@ -26,6 +26,8 @@ SCRIPT = np.zeros(256, np.int8)
 for _k, (_a, _b) in LEAD.items():
     SCRIPT[_a : _b + 1] = _k
 SCRIPTS = 10
+GROUP = 8 << 20  # bytes of text that Viterbi labels together
+_SPANS = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 SPAN = "struct<lang:string,start:int,end:int>"
 
 
@@ -158,37 +160,40 @@ def _labeller(model_var, penalty: float, names: list[str], with_spans: bool):
         label = pa.array(langs, pa.string())
         for batch in batches:
             texts, rows = batch.column(names.index("text")), batch.num_rows
-            pred, share = np.zeros(rows, np.int64), np.zeros(rows)
-            part, chars = [], []
-            if n:
-                for a, _, data, offs in B.chunks(texts):
+            pred, share, has = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows, bool)
+            lists = []
+            for a, b, _, _ in B.chunks(texts, GROUP):  # bounds the memory of a step
+                part, chars = [], []
+                for c, _, data, offs in B.chunks(texts.slice(a, b - a), GROUP // 4) if n else ():
                     start, end, row, s = _scores(model, data, offs)
                     points = B.code_points(data)
                     base = points[offs[row]]
-                    part.append((a + row, end - start, s))
+                    part.append((c + row, end - start, s))
                     chars.append(np.stack([points[start] - base, points[end] - base], 1))
-            has = np.zeros(rows, bool)
-            lists = pa.array([[]] * rows, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
-            if part and sum(len(p[0]) for p in part):
+                m = b - a
+                if not part or not sum(len(p[0]) for p in part):
+                    lists.append(pa.array([[]] * m, _SPANS))
+                    continue
                 row, width, score = (np.concatenate(x) for x in zip(*part, strict=True))
-                state = viterbi(score, np.bincount(row, minlength=rows), penalty)
-                weight = np.bincount(row * n + state, width, rows * n).reshape(rows, n)
-                pred, whole = weight.argmax(1), weight.sum(1)
-                has = whole > 0
-                share = np.where(has, weight[np.arange(rows), pred] / np.maximum(whole, 1), 0.0)
+                del part
+                state = viterbi(score, np.bincount(row, minlength=m), penalty)
+                weight = np.bincount(row * n + state, width, m * n).reshape(m, n)
+                pred[a:b], whole = weight.argmax(1), weight.sum(1)
+                has[a:b] = whole > 0
+                share[a:b] = np.where(whole > 0, weight.max(1) / np.maximum(whole, 1), 0.0)
                 if with_spans:
                     char = np.concatenate(chars)
                     new = np.ones(len(row), bool)
                     new[1:] = (row[1:] != row[:-1]) | (state[1:] != state[:-1])
-                    a = np.flatnonzero(new)
-                    b = np.append(a[1:], len(row)) - 1
-                    offsets = np.concatenate([[0], np.cumsum(np.bincount(row[a], minlength=rows))]).astype(np.int32)
-                    values = pa.StructArray.from_arrays([label.take(pa.array(state[a])), pa.array(char[a, 0].astype(np.int32)), pa.array(char[b, 1].astype(np.int32))], names=["lang", "start", "end"])
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), values)
+                    first = np.flatnonzero(new)
+                    last = np.append(first[1:], len(row)) - 1
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=m))]).astype(np.int32)
+                    values = pa.StructArray.from_arrays([label.take(pa.array(state[first])), pa.array(char[first, 0].astype(np.int32)), pa.array(char[last, 1].astype(np.int32))], names=["lang", "start", "end"])
+                    lists.append(pa.ListArray.from_arrays(pa.array(offsets), values))
             found = label.take(pa.array(pred)) if n else pa.nulls(rows, pa.string())
             found = pa.array([x if h else None for x, h in zip(found.to_pylist(), has.tolist(), strict=True)], pa.string())
             keep = [(k, c) for k, c in zip(names, batch.columns, strict=True) if k != "text"]
-            extra = [("_lang", found), ("_score", pa.array(share))] + ([("_spans", lists)] if with_spans else [])
+            extra = [("_lang", found), ("_score", pa.array(share))] + ([("_spans", pa.concat_arrays(lists) if lists else pa.array([], _SPANS))] if with_spans else [])
             yield pa.RecordBatch.from_arrays([c for _, c in keep + extra], names=[k for k, _ in keep + extra])
 
     return run
