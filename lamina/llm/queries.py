@@ -6,9 +6,14 @@ import importlib
 
 # name of the query -> its module
 MODULES = {
+    "op1_chat_formatting": "chat_windows",
+    "op2_quality_classifier": "cotrain",
     "op3_decontamination": "suffix_decon",
     "op4_ngram_jaccard": "parity_join",
+    "op5_warc": "arc_convert",
     "op6_language_id": "langid_viterbi",
+    "op7_source_mix": "budget_mix",
+    "op8_pii": "pii_weak",
     "op9_line_dedup": "line_bloom",
     "op10_quality_rules": "quality_rules",
 }
@@ -16,6 +21,7 @@ MODULES = {
 SQL = {
     "op3_decontamination": "OP3_SQL",
     "op4_ngram_jaccard": "OP4_SQL",
+    "op5_warc": "OP5_SQL",
     "op9_line_dedup": "OP9_SQL",
     "op10_quality_rules": "OP10_SQL",
 }
