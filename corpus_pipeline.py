@@ -1,8 +1,61 @@
-"""The corpus pipeline: STAGES applied one after the other to ``documents``."""
+"""The corpus pipeline: STAGES applied one after the other to ``documents``.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns the rows that it keeps with the
+columns of documents; the last returns the chosen rows with their epoch and tokens.
+``run`` writes every stage as Parquet in the shared folder and reads it back, so a
+lost executor costs one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.llm import budget_mix, line_bloom, parity_join, quality_rules, suffix_decon
+from lamina.llm.shared import table, written
+
+
+def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: documents that they reject go."""
+    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: repeated lines stay in the first document only; n_chars follows."""
+    out = line_bloom.dedup_lines(docs)
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join, five words and 0.8: one document of each group stays."""
+    return parity_join.one_of_each(docs, k=5, num=80, den=100).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents with enough benchmark passages go."""
+    return suffix_decon.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to target weights: one row for each time a document is taken."""
+    return budget_mix.mix(docs, domain=budget_mix.domain_of(F.col("source")), weights=budget_mix.WEIGHTS, share=budget_mix.SHARE)
+
+
+STAGES = [
+    ("quality_rules", keep_by_rules),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard", keep_one_of_near_copies),
+    ("decontamination", drop_contaminated),
+    ("source_mix", mix_sources),
+]
+# The mixture's water-filling has no bounded SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, name)
+    return docs
