@@ -1,9 +1,486 @@
-"""The registered queries of the label-volume engine."""
+"""The registered queries of the label-volume engine, with their SQL.
 
+Each query runs an operator over the volumes of ``fixture`` made of the whole ``part``
+table (or over a whole table of boxes). ``_digest`` sums coordinates by object, so a
+result that is a volume stays comparable without returning every voxel.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lamina.functions import expressions as X
+from lamina.operators import clean, evaluate, graph, link, overlap, postproc, regions, resample
+from lamina.plans import fixture as S
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def _digest(runs: DataFrame) -> DataFrame:
+    """By object: voxels and coordinate sums of runs."""
+    w = (F.col("x1") - F.col("x0")).cast("long")
+    return runs.groupBy("volume", "id").agg(F.sum(w).alias("n"), F.sum(w * F.col("z")).alias("sz"), F.sum(w * F.col("y")).alias("sy"), F.expr("sum((x1 - x0) * (x0 + x1 - 1) div 2)").alias("sx"))
+
+
+def _digest_voxels(voxels: DataFrame) -> DataFrame:
+    s = lambda c: F.sum(F.col(c).cast("long")).alias(f"s{c}")
+    return voxels.groupBy("volume", "id").agg(F.count("*").alias("n"), s("z"), s("y"), s("x"))
+
+
+def _digest_sql(source: str) -> str:
+    return f"SELECT volume, id, count(*) AS n, sum(z)::BIGINT AS sz, sum(y)::BIGINT AS sy, sum(x)::BIGINT AS sx FROM {source} GROUP BY ALL"
+
+
+def _places(voxels: DataFrame) -> DataFrame:
+    """By volume and slice: places and coordinate sums of a mask."""
+    return voxels.groupBy("volume", "z").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("sy"), F.sum(F.col("x").cast("long")).alias("sx"))
+
+
+def _parts(spark, sf_dir: str) -> DataFrame:
+    return overlap.with_global_ids(regions.slice_components(S.pred_runs(spark, sf_dir)))
+
+
+# --- counts, filters and masks -------------------------------------------------
+
+
+@query(S.sql(S.GT, then="SELECT volume, id, count(*) AS n FROM gt GROUP BY ALL"))
+def object_sizes(spark, sf_dir):
+    return S.gt(spark, sf_dir).groupBy("volume", "id").agg(F.count("*").alias("n"))
+
+
+@query(S.sql(S.GT, S.PRED, then=_digest_sql("pred") + " HAVING count(*) >= 300"))
+def filter_small(spark, sf_dir):
+    return _digest(overlap.keep_large(S.pred_runs(spark, sf_dir), 300))
+
+
+@query(S.sql(S.GT, S.PRED, S.runs_sql("prun", "pred"), then="SELECT volume, z, id, count(*) AS runs, sum(x1 - x0)::BIGINT AS n, sum(x0)::BIGINT AS s0, sum(x1)::BIGINT AS s1 FROM prun GROUP BY ALL"))
+def voxel_runs(spark, sf_dir):
+    return S.pred_runs(spark, sf_dir).groupBy("volume", "z", "id").agg(F.count("*").alias("runs"), F.sum(F.col("x1") - F.col("x0")).alias("n"), F.sum("x0").alias("s0"), F.sum("x1").alias("s1"))
+
+
+@query(S.sql(S.GT, S.PRED, then=_digest_sql("(SELECT volume, z, y, x, coalesce(p.id, g.id) AS id FROM pred p FULL JOIN gt g USING (volume, z, y, x))")))
+def merge_volumes(spark, sf_dir):
+    return _digest_voxels(overlap.merge_volumes(S.pred(spark, sf_dir), S.gt(spark, sf_dir)))
+
+
+def _absent(later: int, *earlier: int) -> str:
+    tests = " ".join(f"AND NOT EXISTS (SELECT 1 FROM mask e WHERE e.volume = m.volume AND e.z = m.z - {later} + {e} AND e.y = m.y AND e.x = m.x)" for e in earlier)
+    return S.sql(S.GT, S.PRED, "mask AS MATERIALIZED (SELECT DISTINCT volume, z, y, x FROM pred)", then=f"SELECT volume, (z - {later}) AS z, count(*) AS n, sum(y)::BIGINT AS sy, sum(x)::BIGINT AS sx FROM mask m WHERE true {tests} GROUP BY ALL")
+
+
+@query(_absent(2, 1))
+def missing_voxels(spark, sf_dir):
+    return _places(overlap.absent_from(S.pred(spark, sf_dir), 2, 1))
+
+
+@query(_absent(3, 2, 1))
+def missing_both(spark, sf_dir):
+    return _places(overlap.absent_from(S.pred(spark, sf_dir), 3, 2, 1))
+
+
+_RING = """
+ring AS (SELECT DISTINCT volume, z, y + dy AS y, x + dx AS x, id AS own FROM pred, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS s(dy, dx)),
+near AS (SELECT volume, z, own, p.id AS other, count(*) AS n FROM ring JOIN pred p USING (volume, z, y, x) WHERE p.id <> own GROUP BY ALL)"""
+
+
+@query(S.sql(S.GT, S.PRED, _RING, then="SELECT volume, z, own AS id, other AS neighbour, n FROM (SELECT *, row_number() OVER (PARTITION BY volume, z, own ORDER BY n DESC, other) AS k FROM near) WHERE k = 1"))
+def neighbour_vote(spark, sf_dir):
+    return overlap.neighbour_vote(S.pred(spark, sf_dir))
+
+
+@query(S.sql(S.GT, S.PRED, then=_digest_sql("(SELECT DISTINCT volume, z, y + dy AS y, x + dx AS x, id FROM pred, (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) AS s(dy, dx) WHERE y + dy BETWEEN 0 AND 419 AND x + dx BETWEEN 0 AND 219)")))
+def dilate_cross(spark, sf_dir):
+    from lamina.functions.kernels import FOUR
+
+    return _digest_voxels(overlap.dilate(S.pred(spark, sf_dir), [*FOUR, (0, 0)], 420, 220))
+
+
+@query(S.sql(S.GT, S.PROB, then="SELECT volume, min(p) AS low, max(p) AS high, round(avg(p), 6) AS mean, count(*) FILTER (WHERE p > 0.98) AS confident FROM prob GROUP BY ALL"))
+def prob_stats(spark, sf_dir):
+    return S.prob(spark, sf_dir).groupBy("volume").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.round(F.avg("p"), 6).alias("mean"), F.count_if(F.col("p") > F.lit(0.98).cast("double")).alias("confident"))
+
+
+# --- boxes ---------------------------------------------------------------------
+
+
+@query(S.sql(S.GT, then="SELECT volume, id, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM gt GROUP BY ALL"))
+def bbox_per_id(spark, sf_dir):
+    return overlap.bounding_boxes(S.gt_runs(spark, sf_dir), "volume", "id")
+
+
+_BOXES = "box AS MATERIALIZED (SELECT volume, z, id AS i, min(y) AS y0, min(x) AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1 FROM pred GROUP BY ALL)"
+_TOUCH = "box a JOIN box b ON a.volume = b.volume AND a.z = b.z AND a.i < b.i AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.x0 < b.x1 AND b.x0 < a.x1"
+
+
+def _slice_boxes(spark, sf_dir):
+    return overlap.bounding_boxes(S.pred_runs(spark, sf_dir), "volume", "z", "id").select("volume", "z", F.col("id").alias("i"), F.col("id").alias("label"), "y0", "x0", "y1", "x1")
+
+
+@query(S.sql(S.GT, S.PRED, _BOXES, then=f"SELECT a.volume, a.z, a.i, b.i AS j FROM {_TOUCH}"))
+def bbox_candidates(spark, sf_dir):
+    return overlap.box_candidates(_slice_boxes(spark, sf_dir))
+
+
+_INTER = "(least(a.y1, b.y1) - greatest(a.y0, b.y0)) * (least(a.x1, b.x1) - greatest(a.x0, b.x0))"
+_UNION = f"((a.y1 - a.y0) * (a.x1 - a.x0) + (b.y1 - b.y0) * (b.x1 - b.x0) - {_INTER})"
+
+
+@query(S.sql(S.GT, S.PRED, _BOXES, then=f"SELECT a.volume, a.z, a.i, b.i AS j, round({_INTER}::DOUBLE / ({_UNION} + 1e-9), 6) AS iou_eps, round({_INTER}::DOUBLE / {_UNION}, 6) AS iou FROM {_TOUCH}"))
+def box_iou(spark, sf_dir):
+    boxes = _slice_boxes(spark, sf_dir)
+    side = lambda n: boxes.select("volume", "z", F.col("i").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("y0", "x0", "y1", "x1")])
+    both = overlap.box_candidates(boxes).join(side("i"), ["volume", "z", "i"]).join(side("j"), ["volume", "z", "j"])
+    a, b = ([F.col(f"{n}_{c}") for c in ("y0", "x0", "y1", "x1")] for n in "ij")
+    return both.select("volume", "z", "i", "j", F.round(X.box_iou(a, b), 6).alias("iou_eps"), F.round(X.bbox_iou(a, b), 6).alias("iou"))
+
+
+@query("""
+SELECT p_partkey, greatest(0, trunc(xc * 1024.0 - w * 1024.0 / 2.0)::INTEGER) AS x0, greatest(0, trunc(yc * 1024.0 - h * 1024.0 / 2.0)::INTEGER) AS y0,
+       least(1024, trunc(xc * 1024.0 + w * 1024.0 / 2.0)::INTEGER) AS x1, least(1024, trunc(yc * 1024.0 + h * 1024.0 / 2.0)::INTEGER) AS y1
+FROM (SELECT p_partkey, (p_partkey * 37 % 1000)::DOUBLE / 1000.0 AS xc, (p_partkey * 61 % 1000)::DOUBLE / 1000.0 AS yc, p_size::DOUBLE / 100.0 AS w, (p_partkey % 41)::DOUBLE / 100.0 AS h FROM part)
+""")
+def yolo_boxes(spark, sf_dir):
+    p, d = F.col("p_partkey"), lambda c: c.cast("double")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", *X.corners(d(p * 37 % 1000) / 1000.0, d(p * 61 % 1000) / 1000.0, d(F.col("p_size")) / 100.0, d(p % 41) / 100.0, 1024))
+
+
+@query()
+def missing_boxes(spark, sf_dir):
+    return clean.missing_boxes(S.pred(spark, sf_dir), min_area=12)[0]
+
+
+@query()
+def duplicate_boxes(spark, sf_dir):
+    boxes = _slice_boxes(spark, sf_dir).withColumn("ord", F.col("i"))
+    return graph.drop_duplicate_boxes(boxes, 0.3)
+
+
+# --- components, edges and tracks ----------------------------------------------
+
+
+@query(S.sql(S.GT, S.PRED, S.COMPONENTS, then="SELECT volume, z, c, min(id) AS id, count(*) AS runs, sum(x1 - x0)::BIGINT AS n FROM comp GROUP BY ALL"))
+def slice_components(spark, sf_dir):
+    return regions.slice_components(S.pred_runs(spark, sf_dir)).groupBy("volume", "z", "c").agg(F.min("id").alias("id"), F.count("*").alias("runs"), F.sum(F.col("x1") - F.col("x0")).alias("n"))
+
+
+@query(S.sql(S.GT, S.PRED, S.COMPONENTS, then="SELECT volume, z, c, gid, area, round(cy, 6) AS cy, round(cx, 6) AS cx FROM geo"))
+def component_geometry(spark, sf_dir):
+    geo = overlap.geometry(_parts(spark, sf_dir), "volume", "z", "c", "gid")
+    return geo.select("volume", "z", "c", "gid", "area", F.round("cy", 6).alias("cy"), F.round("cx", 6).alias("cx"))
+
+
+@query(S.sql(S.GT, S.PRED, S.COMPONENTS, then='SELECT volume, z, k, "offset" FROM offsets'))
+def running_offsets(spark, sf_dir):
+    return overlap.running_offsets(regions.slice_components(S.pred_runs(spark, sf_dir)))
+
+
+_FEATURES = "round(IoU, 6) AS IoU, area_src, area_tgt, round(area_ratio, 6) AS area_ratio, round(dy, 6) AS dy, round(dx, 6) AS dx, round(d_centroid, 6) AS d_centroid"
+
+
+def _edges(spark, sf_dir, dz: int):
+    edges = overlap.build_edges(_parts(spark, sf_dir), dzs=(dz,))
+    return edges.select("volume", "z", "dz", "c_src", "c_tgt", "gid_src", "gid_tgt", "overlap_px", *[F.round(c, 6).alias(c) if c in ("IoU", "area_ratio", "dy", "dx", "d_centroid") else F.col(c) for c in ("IoU", "area_src", "area_tgt", "area_ratio", "dy", "dx", "d_centroid")])
+
+
+@query(S.sql(S.GT, S.PRED, S.COMPONENTS, S.edges_sql(1), then=f"SELECT volume, z, dz, c_src, c_tgt, gid_src, gid_tgt, overlap_px, {_FEATURES} FROM edge1"))
+def edges_dz1(spark, sf_dir):
+    return _edges(spark, sf_dir, 1)
+
+
+@query(S.sql(S.GT, S.PRED, S.COMPONENTS, S.edges_sql(2), then=f"SELECT volume, z, dz, c_src, c_tgt, gid_src, gid_tgt, overlap_px, {_FEATURES} FROM edge2"))
+def edges_dz2(spark, sf_dir):
+    return _edges(spark, sf_dir, 2)
+
+
+@query(S.sql(S.GT, S.PRED, S.COMPONENTS, S.edges_sql(1), "parent AS (SELECT DISTINCT volume, z, c, id FROM comp)", then="SELECT e.volume, e.z, c_src, c_tgt, overlap_px, s.id AS inst_src, t.id AS inst_tgt, (s.id = t.id)::INTEGER AS label_same FROM edge1 e JOIN parent s ON s.volume = e.volume AND s.z = e.z AND s.c = c_src JOIN parent t ON t.volume = e.volume AND t.z = e.z + 1 AND t.c = c_tgt"))
+def training_edges(spark, sf_dir):
+    return overlap.training_edges(_parts(spark, sf_dir)).select("volume", "z", "c_src", "c_tgt", "overlap_px", "inst_src", "inst_tgt", "label_same")
+
+
+def _linked(spark, sf_dir):
+    parts = _parts(spark, sf_dir)
+    edges = overlap.build_edges(parts).withColumn("p_link", F.col("IoU"))
+    return parts, graph.link_tracks(parts, edges, 0.5)
+
+
+@query(S.sql(S.GT, S.PRED, S.COMPONENTS, S.edges_sql(1), S.TRACKS, then="SELECT volume, gid, track FROM track"))
+def tracks(spark, sf_dir):
+    return _linked(spark, sf_dir)[1]
+
+
+_ENDS = """
+here AS (SELECT volume, z, y, x0, x1, c, track FROM comp JOIN geo USING (volume, z, c) JOIN track USING (volume, gid)),
+going AS (SELECT DISTINCT a.volume, a.z, a.c FROM here a JOIN here b ON a.volume = b.volume AND b.z = a.z + ({step}) AND a.y = b.y AND a.track = b.track AND a.x0 < b.x1 AND b.x0 < a.x1)"""
+_NOT_GOING = "SELECT DISTINCT volume, z, c FROM here ANTI JOIN going USING (volume, z, c)"
+
+
+@query(S.sql(S.GT, S.PRED, S.COMPONENTS, S.edges_sql(1), S.TRACKS, _ENDS.replace("{step}", "1"), then=_NOT_GOING))
+def endpoints_fwd(spark, sf_dir):
+    parts, found = _linked(spark, sf_dir)
+    return overlap.endpoints(parts.join(found, ["volume", "gid"]))
+
+
+@query(S.sql(S.GT, S.PRED, S.COMPONENTS, S.edges_sql(1), S.TRACKS, _ENDS.replace("{step}", "-1"), then=_NOT_GOING))
+def endpoints_bwd(spark, sf_dir):
+    parts, found = _linked(spark, sf_dir)
+    return overlap.endpoints(parts.join(found, ["volume", "gid"]), forward=False)
+
+
+_MODE = """
+vox AS (SELECT volume, z, y, c, unnest(range(x0, x1)) AS x FROM comp),
+vote AS (SELECT v.volume, v.z, v.c, g.id AS track, count(*) AS n FROM vox v JOIN gt g USING (volume, z, y, x) GROUP BY ALL)"""
+
+
+@query(S.sql(S.GT, S.PRED, S.COMPONENTS, _MODE, then="SELECT volume, z, c, track FROM (SELECT *, row_number() OVER (PARTITION BY volume, z, c ORDER BY n DESC, track) AS k FROM vote) WHERE k = 1"))
+def track_mode(spark, sf_dir):
+    return overlap.track_mode(regions.slice_components(S.pred_runs(spark, sf_dir)), S.gt_runs(spark, sf_dir))
+
+
+@query()
+def gap_fill(spark, sf_dir):
+    parts = _parts(spark, sf_dir)
+    edges = overlap.build_edges(parts, dzs=(1, 2)).withColumn("p_link", F.col("IoU"))
+    found = graph.link_tracks(parts, edges.filter("dz = 1"), 0.6)
+    on = parts.join(found, ["volume", "gid"])
+    links = graph.gap_links(edges, overlap.endpoints(on), overlap.endpoints(on, forward=False), p_thresh=0.3, d_max=8.0, ratio_min=0.3)
+    return graph.fill_gaps(found, links)
+
+
+_CUBE = f"""{S.runs_sql("grun", "(SELECT volume, z, y, x, 1 AS one FROM gt)", "one")},
+n3 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY z, y, x0) AS r FROM grun),
+t3 AS MATERIALIZED (
+  SELECT a.volume, a.r AS p, b.r AS q FROM n3 a JOIN n3 b ON a.volume = b.volume AND a.z = b.z AND b.y = a.y + 1 AND a.x0 < b.x1 AND b.x0 < a.x1
+  UNION ALL
+  SELECT a.volume, a.r, b.r FROM n3 a JOIN n3 b ON a.volume = b.volume AND b.z = a.z + 1 AND b.y = a.y AND a.x0 < b.x1 AND b.x0 < a.x1),
+s3 AS (SELECT volume, p, q FROM t3 UNION ALL SELECT volume, q, p FROM t3),
+low AS (SELECT n3.volume, n3.r FROM n3 WHERE NOT EXISTS (SELECT 1 FROM t3 WHERE t3.volume = n3.volume AND t3.q = n3.r)),
+w3 AS (SELECT volume, r AS root, r AS seen FROM low UNION SELECT w.volume, w.root, s.q FROM w3 w JOIN s3 s ON s.volume = w.volume AND s.p = w.seen),
+l3 AS MATERIALIZED (SELECT volume, seen, min(root) AS root FROM w3 GROUP BY ALL)"""
+
+
+@query(S.sql(S.GT, _CUBE, then="SELECT volume, id, sum(x1 - x0)::BIGINT AS n FROM (SELECT n3.volume, x0, x1, dense_rank() OVER (PARTITION BY n3.volume ORDER BY root) AS id FROM n3 JOIN l3 ON l3.volume = n3.volume AND l3.seen = n3.r) GROUP BY ALL"))
+def volume_components(spark, sf_dir):
+    return regions.volume_components(S.gt_runs(spark, sf_dir)).groupBy("volume", "id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"))
+
+
+# --- evaluation ----------------------------------------------------------------
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, then="SELECT volume, gt_id, pred_id, inter, gt_voxels, pred_voxels, round(iou, 9) AS iou FROM pair"))
+def pair_iou(spark, sf_dir):
+    pairs = overlap.instance_pairs(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+    return pairs.select("volume", "gt_id", "pred_id", "inter", "gt_voxels", "pred_voxels", F.round("iou", 9).alias("iou"))
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, then="SELECT volume, gt_id, pred_id, round(dice, 9) AS dice FROM pair"))
+def pair_dice(spark, sf_dir):
+    pairs = overlap.instance_pairs(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+    return pairs.select("volume", "gt_id", "pred_id", F.round("dice", 9).alias("dice"))
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, then="SELECT DISTINCT volume, pred_id FROM pair"))
+def valid_predictions(spark, sf_dir):
+    return evaluate.valid_predictions(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+
+
+_COUNTS = """
+total AS (SELECT volume, count(*) AS n_gt, any_value(np) AS n_pred FROM gsize LEFT JOIN (SELECT volume, count(DISTINCT pred_id) AS np FROM pair GROUP BY ALL) USING (volume) GROUP BY volume)"""
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, then="SELECT volume, gt_id AS GT_id, pred_id AS Pred_id, round(iou, 4) AS IoU, round(dice, 4) AS Dice, gt_voxels AS GT_voxels, pred_voxels AS Pred_voxels FROM pair WHERE iou::FLOAT > 0.5::FLOAT"))
+def matches_gt_half(spark, sf_dir):
+    pairs = overlap.instance_pairs(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+    return evaluate.match_table(pairs.filter(F.col("iou").cast("float") > F.lit(0.5).cast("float")))
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, _COUNTS, "t AS (SELECT unnest([0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9])::DOUBLE AS IoU_threshold)", """
+hits AS (SELECT volume, IoU_threshold, n_gt, n_pred, count(*) FILTER (WHERE iou::FLOAT::DOUBLE >= IoU_threshold) AS TP FROM (SELECT * FROM total CROSS JOIN t) LEFT JOIN pair USING (volume) GROUP BY ALL)""",
+    then="SELECT volume, IoU_threshold, TP, n_pred - TP AS FP, n_gt - TP AS FN, round(TP::DOUBLE / (n_gt + n_pred - TP), 4) AS S, round(TP::DOUBLE / n_pred, 4) AS Precision, round(TP::DOUBLE / n_gt, 4) AS Recall FROM hits"))
+def threshold_sweep_gt_half(spark, sf_dir):
+    return evaluate.threshold_sweep(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir), [t for t in X.THRESHOLDS if t > 0.5])
+
+
+@query()
+def threshold_sweep(spark, sf_dir):
+    return evaluate.threshold_sweep(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+
+
+_HALF = "m AS (SELECT * FROM pair WHERE iou > 0.5)"
+
+
+def _unmatched(spark, sf_dir):
+    g, p = S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir)
+    pairs = overlap.instance_pairs(g, p)
+    return evaluate.unmatched(pairs.filter("iou > 0.5D"), g, p, pairs)
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, _HALF, then="SELECT volume, id AS gt_id, n AS gt_voxels FROM gsize WHERE (volume, id) NOT IN (SELECT (volume, gt_id) FROM m)"))
+def false_negatives(spark, sf_dir):
+    return _unmatched(spark, sf_dir)[0]
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, _HALF, then="SELECT volume, id AS pred_id, n AS pred_voxels FROM psize WHERE (volume, id) IN (SELECT (volume, pred_id) FROM pair) AND (volume, id) NOT IN (SELECT (volume, pred_id) FROM m)"))
+def false_positives(spark, sf_dir):
+    return _unmatched(spark, sf_dir)[1]
+
+
+_PAN = "f AS (SELECT volume, count(*) AS TP, avg(iou::FLOAT::DOUBLE) AS SQ FROM pair WHERE iou::FLOAT::DOUBLE >= 0.55::DOUBLE GROUP BY ALL), q AS (SELECT volume, n_gt, n_pred, coalesce(TP, 0) AS TP, coalesce(SQ, 0) AS SQ FROM total LEFT JOIN f USING (volume))"
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, _COUNTS, _PAN, then="SELECT volume, round(SQ * TP / (TP + 0.5 * (n_pred - TP) + 0.5 * (n_gt - TP)), 6) AS PQ, round(SQ, 6) AS SQ, round(TP / (TP + 0.5 * (n_pred - TP) + 0.5 * (n_gt - TP)), 6) AS DQ, TP, n_pred - TP AS FP, n_gt - TP AS FN FROM q"))
+def panoptic_scores(spark, sf_dir):
+    scores = evaluate.panoptic(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir), 0.55)
+    return scores.select("volume", *[F.round(c, 6).alias(c) for c in ("PQ", "SQ", "DQ")], "TP", "FP", "FN")
+
+
+@query(S.sql(S.GT, S.PRED, "c AS (SELECT volume, count(*) FILTER (WHERE g.id IS NOT NULL AND p.id IS NOT NULL) AS tp, count(*) FILTER (WHERE g.id IS NULL) AS fp, count(*) FILTER (WHERE p.id IS NULL) AS fn FROM gt g FULL JOIN pred p USING (volume, z, y, x) GROUP BY ALL)",
+    then="SELECT volume, tp, fp, fn, round(2 * tp::DOUBLE / (2 * tp + fp + fn), 6) AS dice_full, round(tp::DOUBLE / (tp + fp + fn), 6) AS iou_full, round(tp::DOUBLE / (tp + fp), 6) AS prec_full, round(tp::DOUBLE / (tp + fn), 6) AS rec_full, round(2 * tp::DOUBLE / (2 * tp + fn), 6) AS dice_sparse, round(tp::DOUBLE / (tp + fn), 6) AS iou_sparse, 1.0::DOUBLE AS prec_sparse, round(tp::DOUBLE / (tp + fn), 6) AS rec_sparse FROM c"))
+def semantic_scores(spark, sf_dir):
+    out = evaluate.semantic(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+    return out.select("volume", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in out.columns if "_" in c])
+
+
+@query()
+def panoptic_table(spark, sf_dir):
+    return evaluate.panoptic_table(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+
+
+@query()
+def evaluation_summary(spark, sf_dir):
+    return evaluate.summary(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir), "gt", "pred")
+
+
+# --- resampling ----------------------------------------------------------------
+
+
+@query(S.sql(S.GT, S.PRED, "ym AS (SELECT i AS ty, floor((i + 0.5) * 420 / 210)::INTEGER AS y FROM range(210) r(i)), xm AS (SELECT i AS tx, floor((i + 0.5) * 220 / 90)::INTEGER AS x FROM range(90) r(i))", then=_digest_sql("(SELECT volume, z, ty AS y, tx AS x, id FROM pred JOIN ym USING (y) JOIN xm USING (x))")))
+def downsample_nearest(spark, sf_dir):
+    return _digest_voxels(resample.resize_slices(S.pred(spark, sf_dir), (420, 220), (210, 90)))
+
+
+@query(S.sql(S.GT, S.PRED, "ym AS (SELECT i AS ty, (i * 420 // 600)::INTEGER AS y FROM range(600) r(i)), xm AS (SELECT i AS tx, (i * 220 // 300)::INTEGER AS x FROM range(300) r(i))", then=_digest_sql("(SELECT volume, z, ty AS y, tx AS x, id FROM pred JOIN ym USING (y) JOIN xm USING (x))")))
+def prediction_resize(spark, sf_dir):
+    return _digest_voxels(resample.resize_slices(S.pred(spark, sf_dir), (420, 220), (600, 300), "floor"))
+
+
+_UP = """
+b AS (SELECT volume, id, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM gt GROUP BY ALL),
+s AS (SELECT *, z0 AS zs, z1 - z0 AS zn, y0 * 2 AS ys, (y1 - y0) * 2 AS yn, trunc(x0 * 330.0 / 220.0)::INTEGER AS xs, least(trunc(x1 * 330.0 / 220.0)::INTEGER, 330) - trunc(x0 * 330.0 / 220.0)::INTEGER AS xn FROM b),
+k AS (SELECT * FROM s WHERE zn > 1 AND yn > 1 AND xn > 1),
+up AS (
+  SELECT g.volume, zs + (g.z - z0) AS z, ty AS y, tx AS x, max(g.id) AS id FROM gt g JOIN k USING (volume, id)
+  JOIN (SELECT volume, id, ys + i AS ty, y0 + floor((i + 0.5) * (y1 - y0) / yn)::INTEGER AS y FROM (SELECT *, unnest(range(yn)) AS i FROM k)) yy USING (volume, id, y)
+  JOIN (SELECT volume, id, xs + i AS tx, x0 + floor((i + 0.5) * (x1 - x0) / xn)::INTEGER AS x FROM (SELECT *, unnest(range(xn)) AS i FROM k)) xx USING (volume, id, x) GROUP BY ALL)"""
+
+
+@query(S.sql(S.GT, _UP, then=_digest_sql("up")))
+def upscale_instances(spark, sf_dir):
+    return _digest_voxels(resample.upscale_instances(S.gt(spark, sf_dir), (32, 420, 220), (32, 840, 330)))
+
+
+@query()
+def refine_touching(spark, sf_dir):
+    # the threshold leaves regions of several voxels in this noise
+    return _digest_voxels(resample.refine(S.pred(spark, sf_dir), S.prob(spark, sf_dir), 0.5))
+
+
+@query()
+def inverse_alignment(spark, sf_dir):
+    shape = S.SHAPE[1:]
+    v = S.gt(spark, sf_dir).select((F.col("volume") * S.SHAPE[0] + F.col("z")).cast("int").alias("z"), "y", "x", F.lit(1.0).alias("value"))
+    moved = v.select("z", (F.col("y") + F.col("z") % 3).alias("y"), (F.col("x") + F.col("z") % 2).alias("x"), "value")
+    aligned, shifts = resample.inverse_align(v, moved, moved, shape, shape)
+    return aligned.groupBy("z").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("mass")).join(shifts, "z")
+
+
+# --- cleaning, repair and learning ---------------------------------------------
+
+
+@query()
+def fill_objects(spark, sf_dir):
+    return _digest(regions.fill_objects(S.pred_runs(spark, sf_dir), min_area=5))
+
+
+@query()
+def clean_slices(spark, sf_dir):
+    return _digest(clean.clean_slices(S.pred_runs(spark, sf_dir), min_area=5))
+
+
+@query()
+def region_shapes(spark, sf_dir):
+    return regions.shapes(S.gt_runs(spark, sf_dir))
+
+
+_REPAIR = postproc.Repair(min_area=4, coverage_min=0.5, bbox_iou_min=0.2, solidity_min=0.6, eccentricity_max=0.95, closing_radius=1, chunk_size=16)
+
+
+@query()
+def repair_side_view(spark, sf_dir):
+    return _digest_voxels(postproc.repair(S.pred(spark, sf_dir), _REPAIR)[0])
+
+
+@query()
+def repair_log(spark, sf_dir):
+    return postproc.repair(S.pred(spark, sf_dir), _REPAIR)[1]
+
+
+@query()
+def absorb_small_pieces(spark, sf_dir):
+    return _digest(postproc.absorb_small_pieces(S.pred_runs(spark, sf_dir), 12))
+
+
+@query()
+def harmonize_ids(spark, sf_dir):
+    return _digest(postproc.harmonize_ids(S.pred_runs(spark, sf_dir), 0.6))
+
+
+def _forest(spark, sf_dir):
+    edges = overlap.training_edges(overlap.with_global_ids(regions.slice_components(S.pred_runs(spark, sf_dir))))
+    train, held = link.stratified_split(edges)
+    # a depth of 8 and 20 trees keep the query short; the defaults are 400 trees of depth 30
+    return link.train_forest(train, trees=20, depth=8), held
+
+
+@query()
+def forest_scores(spark, sf_dir):
+    model, held = _forest(spark, sf_dir)
+    return link.ranking_scores(link.score_edges(held, model))
+
+
+@query()
+def forest_report(spark, sf_dir):
+    model, held = _forest(spark, sf_dir)
+    return link.classification_report(link.score_edges(held, model))
+
+
+@query()
+def link_full(spark, sf_dir):
+    return _digest(link.link_full(S.pred_runs(spark, sf_dir), _forest(spark, sf_dir)[0])[1])
+
+
+@query()
+def link_iterative(spark, sf_dir):
+    return _digest(link.link_iterative(S.pred_runs(spark, sf_dir), _forest(spark, sf_dir)[0])["linked"])
