@@ -154,7 +154,7 @@ def update_boxes(boxes: DataFrame, voxels: DataFrame, names: DataFrame, *, min_a
     two, _ = missing_boxes(voxels, min_area=min_area)
     at = two.withColumn("z", F.col("z") + 1).join(names, "z")
     last = boxes.groupBy("image_name").agg(F.max("ord").alias("_last"))
-    new = at.join(last, "image_name", "left").select("image_name", "z", (F.coalesce("_last", F.lit(-1)) + 1 + F.row_number().over(_by_image())).cast("int").alias("ord"), "x0", "y0", "x1", "y1")
+    new = at.join(last, "image_name", "left").select("image_name", "z", (F.coalesce("_last", F.lit(-1)) + F.row_number().over(_by_image())).cast("int").alias("ord"), "x0", "y0", "x1", "y1")
     return boxes.unionByName(new)
 
 

@@ -56,11 +56,11 @@ def ranking_scores(scored: DataFrame, label: str = "label_same", score: str = "p
     steps = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
     w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = steps.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
-    total = F.broadcast(steps.agg(F.sum("p").alias("P"), F.sum("n").alias("N")))
+    total = F.broadcast(steps.agg(F.sum("p").alias("_all_p"), F.sum("n").alias("_all_n")))
     terms = run.join(total, F.lit(True))
-    auc = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / F.first(F.col("P") * F.col("N"))
-    ap = F.sum(F.col("p") / F.col("P") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    both = F.first((F.col("P") > 0) & (F.col("N") > 0))
+    auc = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / F.first(F.col("_all_p") * F.col("_all_n"))
+    ap = F.sum(F.col("p") / F.col("_all_p") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    both = F.first((F.col("_all_p") > 0) & (F.col("_all_n") > 0))
     return terms.agg(F.when(both, auc).alias("roc_auc"), F.when(both, ap).alias("average_precision"))
 
 
