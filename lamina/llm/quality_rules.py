@@ -124,6 +124,14 @@ def judge(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, base: tuple[Rule,
     return out.withColumn("kept", ~F.col("base_failed") & ~compiled(rules)).select(*kept, *OWN)
 
 
+def keep_good(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever their names."""
+    judged = judge(docs.select(F.struct(*docs.columns).alias("_row"), "text"), **options)
+    # a filter right above the projection would be pushed into it, where its expressions multiply
+    once = judged.select(F.inline(F.array(F.struct("_row", "kept"))))
+    return once.filter("kept").select("_row.*")
+
+
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
