@@ -8,6 +8,8 @@ lost executor costs one stage at most.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,29 +17,54 @@ from lamina.llm import budget_mix, line_bloom, parity_join, quality_rules, suffi
 from lamina.llm.shared import table, written
 
 
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def with_any_columns(stage):
+    """Give further columns of ``docs`` neutral names while a stage runs, so none can clash."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        neutral = {c: f"_extra_{i}" for i, c in enumerate(docs.columns) if c not in CORE}
+        out = stage(spark, docs.withColumnsRenamed(neutral), sf_dir)
+        back = {v: k for k, v in neutral.items()}
+        own = [c for c in out.columns if c not in CORE and c not in back]
+        return out.select(*[F.col(c).alias(back.get(c, c)) for c in out.columns if back.get(c) not in own])
+
+    return run
+
+
+@with_any_columns
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that they reject go."""
-    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs)
 
 
+@with_any_columns
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated lines stay in the first document only; n_chars follows."""
     out = line_bloom.dedup_lines(docs)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+@with_any_columns
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join, five words and 0.8: one document of each group stays."""
     return parity_join.one_of_each(docs, k=5, num=80, den=100).select(*docs.columns)
 
 
+@with_any_columns
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with enough benchmark passages go."""
     return suffix_decon.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@with_any_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: one row for each time a document is taken."""
+    """Mixing to target weights: one row for each time a document is taken.
+
+    ``epoch`` and ``n_tokens`` are added, in place of columns with those names.
+    """
     return budget_mix.mix(docs, domain=budget_mix.domain_of(F.col("source")), weights=budget_mix.WEIGHTS, share=budget_mix.SHARE)
 
 
