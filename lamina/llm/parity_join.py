@@ -7,18 +7,20 @@ The sketch of a band is cut into parts; two sets that link differ in D parts at
 most. A part is kept as the XOR of a mixed code for each of its odd bits, which
 cancels just as the bits do, so a sketch of 2**63 bits a part needs 8 bytes a part.
 
-A document sends the D + 1 best of its parts, those with the most shingles. The order
-depends on a part's content only, so of the parts that two linking sets share the best
-one is sent by both. Shingles that a bounded sample finds frequent would fill buckets,
-so they are set apart; r is the number of the others:
-- sets with r > RARE * D send parts of the sketch of their other shingles only;
-- sets with r <= (RARE + 1) * D send each other shingle, and if r <= D parts of the
-  sketch of all shingles too, in wide buckets.
-If r of one set is above (RARE + 1) * D, that of a linking one is above RARE * D, and
-both send the first kind. Otherwise they share another shingle, which both send, or
-none: then the difference is r + r' + |f - f'| at least (f: frequent shingles), and
-only pairs of a wide bucket within that bound are tested. No link is lost, whatever
-the sample says.
+A set of n shingles sends the d + 1 best of its parts, those with the most shingles,
+where d bounds the difference by its own size. The order depends on a part's content
+only, so of the parts that two linking sets share the best one is sent by both.
+
+Shingles that a bounded sample finds frequent would fill buckets, so they are set
+apart; r is the number of the others:
+- sets with r > RARE * d send parts of the sketch of their other shingles only;
+- the rest, and those whose partners may be of the rest, send the first d + 1 of their
+  other shingles in one global order;
+- sets with r <= d also send parts of the sketch of all shingles, in wide buckets.
+A linking pair of the first kind shares a part. Any other shares one of the first d + 1
+other shingles, or no other shingle at all: then the difference is r + r' + |f - f'| at
+least (f: frequent shingles), so both send the third kind, and only pairs of a wide
+bucket within that bound are tested. No link is lost, whatever the sample says.
 
 Each set is compared with the smallest document of most of its buckets first. While a
 bucket holds several components, its documents go on to the next partners, those with
@@ -42,12 +44,12 @@ from .shared import LAST_ID, release, table, written
 
 ROWS = 256  # in a chunk: a row's number and 56 bits of a shingle's hash share 64 bits
 BYTES = 1 << 20
-RARE = 2.5
-SPREAD = 1.4  # size of a band: largest over smallest
+RARE = 2
+SPREAD = 2  # size of a band: largest over smallest
 
 
 class Bands:
-    """Size bands of a threshold ``num / den``, with D and the number of parts of each."""
+    """Size bands of a threshold ``num / den``; the parts of a band's sketch."""
 
     def __init__(self, num: int, den: int, most: int = 1 << 31):
         self.num, self.den = num, den
@@ -55,9 +57,12 @@ class Bands:
         while high[-1] < most:
             high.append(max(high[-1] + 1, int(high[-1] * SPREAD)))
         self.high = np.array(high, np.int64)
-        self.apart = (den - num) * self.high // num  # the smaller set has ``high`` shingles at most
-        self.keep = self.apart + 1
-        self.parts = self.apart + 1 + self.apart // 2
+        apart = self.apart(self.high)
+        self.parts = apart + 1 + apart // 2
+
+    def apart(self, n: np.ndarray) -> np.ndarray:
+        """The difference of two linking sets is at most this if the smaller has n shingles at most."""
+        return (self.den - self.num) * n // self.num
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.high, n)
@@ -88,8 +93,9 @@ def shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np
             yield a + c, d - c, (key >> np.uint64(56)).astype(np.int64), key & np.uint64((1 << 56) - 1)
 
 
-def sketch(rows: int, row: np.ndarray, h: np.ndarray, band: np.ndarray, use: np.ndarray, bands: Bands, wide: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of the best parts of each used row's sketch in ``band`` of that row."""
+def sketch(rows: int, row: np.ndarray, h: np.ndarray, band: np.ndarray, keep: np.ndarray, bands: Bands, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of the ``keep`` best parts of each row's sketch in ``band`` of that row."""
+    use = keep > 0
     parts = np.where(use, bands.parts[band], 0)
     base = np.concatenate([[0], np.cumsum(parts)])
     mine = use[row]
@@ -103,7 +109,7 @@ def sketch(rows: int, row: np.ndarray, h: np.ndarray, band: np.ndarray, use: np.
     code = _code(parity ^ B.mix((np.arange(base[-1]) - base[owner]).astype(np.uint64) + (band[owner].astype(np.uint64) << np.uint64(40))), wide)
     by = np.lexsort((code, -score, owner))
     rank = np.arange(base[-1]) - base[owner]
-    sent = by[rank < bands.keep[band][owner]]
+    sent = by[rank < keep[owner]]
     return owner[sent], code[sent]
 
 
@@ -114,22 +120,26 @@ def _code(x: np.ndarray, wide: bool) -> np.ndarray:
 
 def signatures(rows: int, n: np.ndarray, r: np.ndarray, row: np.ndarray, h: np.ndarray, other: np.ndarray, use: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of everything that the used rows send; ``other``: not frequent."""
-    own, lowest = bands.of(np.maximum(n, 1)), bands.lowest(np.maximum(n, 1))
+    own, lowest, d = bands.of(np.maximum(n, 1)), bands.lowest(np.maximum(n, 1)), bands.apart(n)
     owner, code = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    few = np.zeros(rows, bool)
     for down in range(int((own - lowest).max(initial=0)) + 1):
         band = np.maximum(own - down, 0)
-        apart = bands.apart[band]
-        on = use & (own - down >= lowest) & (apart > 0)
-        for wide, chosen, mask in ((False, on & (r > RARE * apart), other), (True, on & (r <= apart), np.ones(len(h), bool))):
-            if chosen.any():
-                o, c = sketch(rows, row[mask], h[mask], band, chosen, bands, wide)
+        apart = np.where(use & (own - down >= lowest), bands.apart(np.minimum(n, bands.high[band])), 0)
+        keep = np.where(apart > 0, apart + 1, 0)  # a difference of 0: equal sets are one class anyway
+        for wide, chosen, mask in ((False, r > RARE * d, other), (True, r <= d, np.ones(len(h), bool))):
+            if (chosen & (keep > 0)).any():
+                o, c = sketch(rows, row[mask], h[mask], band, np.where(chosen, keep, 0), bands, wide)
                 owner.append(o)
                 code.append(c)
-        few |= on & (r <= (RARE + 1) * apart)
-    single = other & few[row]
-    owner.append(row[single])
-    code.append(_code(h[single] ^ np.uint64(0x3C6EF372FE94F82B), False))
+    few = use & (d > 0) & (r <= RARE * bands.den / bands.num * (d + 1) + d + 1)
+    at = np.flatnonzero(other & few[row])
+    order = B.mix(h[at] ^ np.uint64(0x3C6EF372FE94F82B))
+    by = np.lexsort((order, row[at]))
+    of = row[at][by]
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    first = by[place <= d[of]]
+    owner.append(row[at][first])
+    code.append(_code(order[first], False))
     return np.concatenate(owner), np.concatenate(code)
 
 
@@ -209,26 +219,24 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, *, in_one_task: int = 500_000) -> DataFrame:
     """(node, label) with the smallest node of each connected component; edges (a, b).
 
-    Up to ``in_one_task`` edges are joined by one executor's task. With more, labels
-    fall to the smallest neighbour's and then jump to their label's label, so the
-    rounds grow with the logarithm of the longest path.
+    Up to ``in_one_task`` edges are joined by one executor's task. With more, every node
+    points to its smallest neighbour, pointers jump once, and edges move to what their
+    ends point to, so the graph shrinks each round until no edge is left.
     """
     edges = written(edges.select("a", "b").distinct(), "edges")
     if edges.count() <= in_one_task:
         labels = written(edges.coalesce(1).mapInArrow(_union_find, "node long, label long"), "labels")
         release(edges)
         return labels
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        moved = written(step.join(up, "label").select("node", "old", F.least("label", "root").alias("label")), "labels")
-        changed = moved.filter("label <> old").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
-            return labels
+    labels = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    left = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "left")
+    while left.limit(1).count():
+        least = written(left.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("from"), F.least("a", "m").alias("mid")), "least")
+        to = written(least.join(least.select(F.col("from").alias("mid"), F.col("mid").alias("to")), "mid").select("from", "to"), "to")
+        at = lambda c: to.select(F.col("from").alias(c), F.col("to").alias(f"_{c}"))  # noqa: B023, E731
+        labels = written(labels.join(at("label"), "label", "left").select("node", F.coalesce("_label", "label").alias("label")), "labels")
+        left = written(left.join(at("a"), "a").join(at("b"), "b").filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "left")
+    return labels
 
 
 def _best(votes: DataFrame, share: int) -> DataFrame:
@@ -289,7 +297,7 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     same = nodes.join(several, "owner").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
     sent = made.select("owner", F.explode("sigs").alias("sig"))
-    repeated = sent.groupBy("sig").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).filter("first < last").select("sig")
+    repeated = sent.groupBy("sig").count().filter("count > 1").select("sig")
     members = sent.join(repeated, "sig").join(nodes.filter("n > 0").distinct(), "owner").select("sig", "node", "n", "r")
     held = written(members, "members")
     release(made)
