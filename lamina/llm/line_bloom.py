@@ -151,7 +151,9 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, bits: int | None = None, li
     sent = spark.sparkContext.broadcast(twice_seen(docs, bits=bits, least=least))
     # the keys of one document are distinct, except where rows share an id
     suspects = written(docs.select(owner.alias("owner"), "text").mapInArrow(_suspects(sent, bits, least), "owner long, key string"), "suspects")
-    repeated = suspects.groupBy("key").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).filter("first < last").select("key", "first")
+    counted = suspects.groupBy("key").agg(F.min("owner").alias("first"), F.max("owner").alias("last"))
+    # read from a table, both sides of the join are dealt anew, so Spark can split a hot key
+    repeated = written(counted.filter("first < last").select("key", "first"), "repeated")
     gone = suspects.join(repeated, "key").filter("owner <> first").groupBy("owner").agg(F.collect_set("key").alias("_gone"))
     text = F.coalesce("text", F.lit(""))
     rest = docs.drop("n_lines", "n_dropped").withColumn("_owner", owner).join(gone.withColumnRenamed("owner", "_owner"), "_owner", "left")
