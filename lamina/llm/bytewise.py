@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20  # bytes of text handled at once; one longer text is handled alone
+CHUNK = 1 << 20  # bytes of text handled at once; one longer text is handled alone
 
 _byte = np.arange(256)
 LOWER = _byte.astype(np.uint8)

@@ -26,7 +26,7 @@ SCRIPT = np.zeros(256, np.int8)
 for _k, (_a, _b) in LEAD.items():
     SCRIPT[_a : _b + 1] = _k
 SCRIPTS = 10
-GROUP = 8 << 20  # bytes of text that Viterbi labels together
+GROUP = 4 << 20  # bytes of text that Viterbi labels together
 _SPANS = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 SPAN = "struct<lang:string,start:int,end:int>"
 
