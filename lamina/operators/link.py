@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -38,6 +38,14 @@ def train_forest(edges: DataFrame, *, trees: int = 400, min_leaf: int = 2, depth
     return RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed).fit(rows)
 
 
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> RandomForestClassificationModel:
+    return RandomForestClassificationModel.load(path)
+
+
 def score_edges(edges: DataFrame, model) -> DataFrame:
     """Add ``p_link``, the model's probability that both ends belong together."""
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(edges)

@@ -99,6 +99,14 @@ def keep_large(runs: DataFrame, min_voxels: int = 90_000) -> DataFrame:
     return runs.join(big.select("volume", "id"), ["volume", "id"], "left_semi").select(*runs.columns)
 
 
+def filter_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(volume, objects, voxels_before, voxels_after) of a filter on runs."""
+    w = F.sum(F.col("x1") - F.col("x0")).cast("long")
+    a = before.groupBy("volume").agg(w.alias("voxels_before"))
+    b = after.groupBy("volume").agg(F.countDistinct("id").alias("objects"), w.alias("voxels_after"))
+    return a.join(b, "volume", "left").select("volume", F.coalesce("objects", F.lit(0)).alias("objects"), "voxels_before", F.coalesce("voxels_after", F.lit(0)).alias("voxels_after"))
+
+
 def merge_volumes(first: DataFrame, second: DataFrame) -> DataFrame:
     """Voxels of ``first``, and of ``second`` where ``first`` has background."""
     place = ["volume", "z", "y", "x"]

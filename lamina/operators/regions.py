@@ -56,6 +56,13 @@ def merge_touching(runs: DataFrame) -> DataFrame:
     return marked.groupBy("volume", "z", "y", "_k").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_k")
 
 
+def large_regions(runs: DataFrame, min_voxels: int = 90_000, connectivity: int = 1) -> DataFrame:
+    """The foreground's 3D regions of ``min_voxels`` voxels and more, with region numbers as ids."""
+    from lamina.operators.overlap import keep_large
+
+    return keep_large(volume_components(runs, connectivity), min_voxels)
+
+
 SHAPE = "volume long, z int, id long, area long, y0 int, x0 int, y1 int, x1 int, cy double, cx double, solidity double, eccentricity double"
 
 

@@ -75,6 +75,12 @@ def filter_small(spark, sf_dir):
     return _digest(overlap.keep_large(S.pred_runs(spark, sf_dir), 300))
 
 
+@query(S.sql(S.GT, S.PRED, "big AS (SELECT volume, id FROM pred GROUP BY ALL HAVING count(*) >= 300)", then="SELECT volume, count(DISTINCT id) FILTER (WHERE big.id IS NOT NULL) AS objects, count(*) AS voxels_before, count(big.id) AS voxels_after FROM pred LEFT JOIN big USING (volume, id) GROUP BY ALL"))
+def filter_report(spark, sf_dir):
+    runs = S.pred_runs(spark, sf_dir)
+    return overlap.filter_report(runs, overlap.keep_large(runs, 300))
+
+
 @query(S.sql(S.GT, S.PRED, S.runs_sql("prun", "pred"), then="SELECT volume, z, id, count(*) AS runs, sum(x1 - x0)::BIGINT AS n, sum(x0)::BIGINT AS s0, sum(x1)::BIGINT AS s1 FROM prun GROUP BY ALL"))
 def voxel_runs(spark, sf_dir):
     return S.pred_runs(spark, sf_dir).groupBy("volume", "z", "id").agg(F.count("*").alias("runs"), F.sum(F.col("x1") - F.col("x0")).alias("n"), F.sum("x0").alias("s0"), F.sum("x1").alias("s1"))
@@ -286,6 +292,11 @@ def volume_components(spark, sf_dir):
     return regions.volume_components(S.gt_runs(spark, sf_dir)).groupBy("volume", "id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"))
 
 
+@query(S.sql(S.GT, _CUBE, then="SELECT volume, id, sum(x1 - x0)::BIGINT AS n FROM (SELECT n3.volume, x0, x1, dense_rank() OVER (PARTITION BY n3.volume ORDER BY root) AS id FROM n3 JOIN l3 ON l3.volume = n3.volume AND l3.seen = n3.r) GROUP BY ALL HAVING sum(x1 - x0) >= 2000"))
+def large_regions(spark, sf_dir):
+    return regions.large_regions(S.gt_runs(spark, sf_dir), 2000).groupBy("volume", "id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"))
+
+
 # --- evaluation ----------------------------------------------------------------
 
 

@@ -300,7 +300,7 @@ def test_chunks_of_the_forward_pass_agree_with_one_sweep_when_nothing_crosses(sp
     assert (dense(postproc.forward_pass(runs, cfg(1))[0], s.shape) == whole).all()
 
 
-def test_forest_is_better_than_chance(spark):
+def test_forest_is_better_than_chance(spark, tmp_path):
     from lamina.plans import fixture
 
     edges = overlap.training_edges(overlap.with_global_ids(regions.slice_components(fixture.pred_runs(spark, "/root/testdata/sf0.001"))))
@@ -312,6 +312,9 @@ def test_forest_is_better_than_chance(spark):
     assert r["roc_auc"] > 0.7 and r["average_precision"] > 0.5
     assert sum(w for _, w in link.importances(model)) == pytest.approx(1.0) and link.classification_report(scored).count() == 2
     assert link.score_edges(edges.limit(0), model).columns[-1] == "p_link"
+    link.save_model(model, f"file://{tmp_path}/forest")
+    again = link.score_edges(held, link.load_model(f"file://{tmp_path}/forest"))
+    assert link.ranking_scores(again).first()["roc_auc"] == pytest.approx(r["roc_auc"])
     with pytest.raises(ValueError):
         link.link_volume(None, model, "other")
 
