@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .shared import LAST_ID, WS, ascii_lower, partitions, written
+from .shared import LAST_ID, WS, ascii_lower, partitions, small_batches, written
 
 SEGMENT = 1 << 16  # bytes
 SALT = np.uint64(0xA0761D6478BD642F)
@@ -148,9 +148,10 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, bits: int | None = None, li
         want = max(1, docs.count()) * lines_per_doc * bits_per_line
         bits = max(SEGMENT * 8, min(max_bits, 1 << (want - 1).bit_length()))
     owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    sent = spark.sparkContext.broadcast(twice_seen(docs, bits=bits, least=least))
-    # the keys of one document are distinct, except where rows share an id
-    suspects = written(docs.select(owner.alias("owner"), "text").mapInArrow(_suspects(sent, bits, least), "owner long, key string"), "suspects")
+    with small_batches(spark):
+        sent = spark.sparkContext.broadcast(twice_seen(docs, bits=bits, least=least))
+        # the keys of one document are distinct, except where rows share an id
+        suspects = written(docs.select(owner.alias("owner"), "text").mapInArrow(_suspects(sent, bits, least), "owner long, key string"), "suspects")
     counted = suspects.groupBy("key").agg(F.min("owner").alias("first"), F.max("owner").alias("last"))
     # read from a table, both sides of the join are dealt anew, so Spark can split a hot key
     repeated = written(counted.filter("first < last").select("key", "first"), "repeated")

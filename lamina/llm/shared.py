@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,19 @@ def release(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._lamina_path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While an action runs, send few rows at once to Python: texts are long, and a batch
+    is held by the JVM and by the worker at the same time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
