@@ -40,10 +40,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .shared import LAST_ID, release, table, written
+from .shared import LAST_ID, release, small_batches, table, written
 
 ROWS = 256  # in a chunk: a row's number and 56 bits of a shingle's hash share 64 bits
 BYTES = 1 << 20
+SEEN = 100_000  # sets that a task remembers, to send each once
 RARE = 2
 SPREAD = 2  # size of a band: largest over smallest
 
@@ -146,8 +147,10 @@ def signatures(rows: int, n: np.ndarray, r: np.ndarray, row: np.ndarray, h: np.n
 def _sketcher(k: int, bands: Bands, frequent_var):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = frequent_var.value
+        seen: set = set()
         for batch in batches:
-            seen: set = set()
+            if len(seen) > SEEN:
+                seen.clear()
             for a, rows, row, h in shingles(batch.column(1), k):
                 n = np.bincount(row, minlength=rows)
                 first = np.concatenate([[0], np.cumsum(n)])[:-1]
@@ -159,7 +162,7 @@ def _sketcher(k: int, bands: Bands, frequent_var):
                 new = n > 0
                 for i, x in enumerate(zip(n.tolist(), h1.tolist(), h2.tolist(), strict=True)):
                     if x in seen:
-                        new[i] = False  # an equal set of this batch stands for it
+                        new[i] = False  # an equal set of this task stands for it
                     seen.add(x)
                 other = ~frequent[(h & np.uint64(len(frequent) - 1)).astype(np.int64)]
                 r = np.bincount(row[other], minlength=rows)
@@ -257,7 +260,8 @@ class _Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets link, tested on the sets themselves."""
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("owner")).distinct(), "ids")
-        sets = written(self.texts.join(_small(ids), "owner", "left_semi").mapInArrow(_sets(self.k), "owner long, shingles array<long>"), "sets")
+        with small_batches(pairs.sparkSession):
+            sets = written(self.texts.join(_small(ids), "owner", "left_semi").mapInArrow(_sets(self.k), "owner long, shingles array<long>"), "sets")
         side = lambda c: sets.select(F.col("owner").alias(c), F.col("shingles").alias(f"_{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("_a", "_b")).cast("long")
@@ -284,8 +288,9 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("owner"), "text")
     spark, bands = docs.sparkSession, Bands(num, den)
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, k, sample=sample))
-    made = written(texts.mapInArrow(_sketcher(k, bands, frequent), "owner long, n long, r long, h1 long, h2 long, sigs array<long>"), "sketches")
+    with small_batches(spark):
+        frequent = spark.sparkContext.broadcast(frequent_shingles(texts, k, sample=sample))
+        made = written(texts.mapInArrow(_sketcher(k, bands, frequent), "owner long, n long, r long, h1 long, h2 long, sigs array<long>"), "sketches")
     classes = made.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("owner").alias("node"))
     sets = made.select("owner", "n", "r", "h1", "h2")
     nodes = written(
@@ -320,7 +325,7 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     tested = written(_best(votes, 1), "pairs")
     found = same.unionByName(join.links(tested))
     labels = components(found)
-    state, width, share = buckets.select("sig", "node", "n", "r"), 1, 1
+    state, width, share = buckets.select("sig", "node", "n", "r"), 4, 4
     while True:
         known = state.join(labels, "node", "left").select("sig", "node", "n", "r", F.coalesce("label", "node").alias("label"))
         open_ = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("sig")
@@ -328,16 +333,19 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         largest = ranked.agg(F.max("rank")).first()[0]
         if not largest:
             break
-        state = ranked.select("sig", "node", "n", "r")
         lead = ranked.filter(f"rank <= {width}").select("sig", F.col("node").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra"), F.col("n").alias("an"), F.col("r").alias("ar"))
         rest = ranked.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), "rank", F.col("n").alias("bn"), F.col("r").alias("br"))
-        votes = lead.join(rest, "sig").filter("ra < rank and la <> lb").filter(may_link("a", "b")).groupBy("a", "b").agg(F.count("*").alias("n")).join(tested, ["a", "b"], "left_anti")
-        picked = written(_best(votes, share), "pairs")
+        cross = lead.join(rest, "sig").filter("ra < rank and la <> lb").filter(may_link("a", "b")).select("sig", "a", "b")
+        fresh = written(cross.join(tested, ["a", "b"], "left_anti"), "fresh")
+        picked = written(_best(fresh.groupBy("a", "b").agg(F.count("*").alias("n")), share), "pairs")
         if not picked.limit(1).count():
             if width >= largest:
                 break
-            width *= 4
+            state, width = ranked.select("sig", "node", "n", "r"), width * 4
             continue
+        # a bucket is done when all its pairs of different components are tested
+        waiting = fresh.join(picked, ["a", "b"], "left_anti").select("sig").unionByName(ranked.filter(f"rank > {width}").select("sig")).distinct()
+        state = written(ranked.select("sig", "node", "n", "r").join(waiting, "sig", "left_semi"), "state")
         tested = tested.unionByName(picked)
         found = found.unionByName(join.links(picked))
         labels = components(found)
