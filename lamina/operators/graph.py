@@ -84,19 +84,34 @@ def match(pairs: DataFrame, threshold: float) -> DataFrame:
     ok = pairs.filter(F.col("iou").cast("float") >= F.lit(float(threshold)).cast("double"))
     if threshold > 0.5:
         return ok.select(*pairs.columns)
+    rows = match_each(pairs, [threshold]).drop("IoU_threshold")
+    return rows.select(*pairs.columns)
+
+
+def match_each(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
+    """``match`` for several thresholds, with ``IoU_threshold``; components are found once.
+
+    Components at the lowest threshold hold those of all others.
+    """
+    ok = cut(pairs.filter(F.col("iou").cast("float") >= F.lit(float(min(thresholds))).cast("double")))
     # predictions as negative nodes keep the two sides apart
     edges = ok.select("volume", F.col("gt_id").alias("a"), (-F.col("pred_id")).alias("b"))
     root = connected_components(edges, keys=["volume"]).select("volume", F.col("node").alias("gt_id"), F.col("root").alias("_block"))
+    low = [float(t) for t in thresholds]
 
     def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         g, gi = np.unique(rows["gt_id"].to_numpy(), return_inverse=True)
         p, pi = np.unique(rows["pred_id"].to_numpy(), return_inverse=True)
-        w = np.zeros((len(g), len(p)))
-        w[gi, pi] = rows["iou"].to_numpy().astype(np.float32)
-        chosen = {(r, c) for r, c in assign(w) if w[r, c] > 0}
-        return rows[[x in chosen for x in zip(gi.tolist(), pi.tolist(), strict=True)]].drop(columns="_block")
-
-    schema = ok.select(*pairs.columns).schema
+        iou = rows["iou"].to_numpy().astype(np.float32).astype(np.float64)
+        out = []
+        for t in low:
+            w = np.zeros((len(g), len(p)))
+            w[gi, pi] = np.where(iou >= t, iou, 0.0)
+            chosen = {(r, c) for r, c in assign(w) if w[r, c] > 0}
+            out.append(rows[[x in chosen for x in zip(gi.tolist(), pi.tolist(), strict=True)]].drop(columns="_block").assign(IoU_threshold=t))
+        return pd.concat(out, ignore_index=True)
+
+    schema = ok.withColumn("IoU_threshold", F.lit(0.0)).schema
     return ok.join(root, ["volume", "gt_id"]).select(*pairs.columns, "_block").groupBy("volume", "_block").applyInPandas(block, schema)
 
 
