@@ -325,11 +325,12 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     tested = written(_best(votes, 1), "pairs")
     found = same.unionByName(join.links(tested))
     labels = components(found)
-    state, width, share = buckets.select("sig", "node", "n", "r"), 4, 4
+    state, source, width, share = buckets.select("sig", "node", "n", "r"), buckets, 4, 4
     while True:
         known = state.join(labels, "node", "left").select("sig", "node", "n", "r", F.coalesce("label", "node").alias("label"))
         open_ = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("sig")
         ranked = written(known.join(open_, "sig").withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy(F.when(wide, F.col("r")).otherwise(0), "node", "n"))), "open")
+        release(source)
         largest = ranked.agg(F.max("rank")).first()[0]
         if not largest:
             break
@@ -341,11 +342,13 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         if not picked.limit(1).count():
             if width >= largest:
                 break
-            state, width = ranked.select("sig", "node", "n", "r"), width * 4
+            state, source, width = ranked.select("sig", "node", "n", "r"), ranked, width * 4
             continue
         # a bucket is done when all its pairs of different components are tested
         waiting = fresh.join(picked, ["a", "b"], "left_anti").select("sig").unionByName(ranked.filter(f"rank > {width}").select("sig")).distinct()
-        state = written(ranked.select("sig", "node", "n", "r").join(waiting, "sig", "left_semi"), "state")
+        state = source = written(ranked.select("sig", "node", "n", "r").join(waiting, "sig", "left_semi"), "state")
+        release(ranked)
+        release(fresh)
         tested = tested.unionByName(picked)
         found = found.unionByName(join.links(picked))
         labels = components(found)
