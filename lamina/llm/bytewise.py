@@ -8,6 +8,7 @@ byte classes exact for the word classes used here.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,27 +26,8 @@ ALNUM = ((_byte >= 0x30) & (_byte <= 0x39)) | ((_byte >= 0x61) & (_byte <= 0x7A)
 LETTER = ((_byte >= 0x61) & (_byte <= 0x7A)) | (_byte >= 0x80)
 NOT_TAIL = (_byte & 0xC0) != 0x80
 
-_seeded = np.random.default_rng(20240607)
-TABLE = _seeded.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
-    if len(_powers["p"]) < n:
-        size = 1 << int(n - 1).bit_length()
-        keep = size if size <= 4 * CHUNK else 0
-        made = []
-        for base in (_P, _PINV):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            made.append(np.multiply.accumulate(x))
-        if not keep:
-            return made[0], made[1]
-        _powers["p"], _powers["q"] = made
-    return _powers["p"], _powers["q"]
+MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # the first k bytes of eight
+LONG = 256  # bytes from which a range goes to a digest or a comparison of its own
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,17 +39,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` reads the hash of any byte range."""
-    p, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(TABLE[data] * p[: len(data)], out=out[1:])
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place, as one integer; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, two: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Two independent hashes of byte ranges; the second is None unless ``two``.
+
+    Eight bytes at a time go through a bijection of the state, so no algebra of
+    positions remains that a text could exploit; long ranges take a digest of 16 bytes.
+    """
+    size, at = end - start, eights(data)
+    one = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    other = mix(size.astype(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) if two else None
+    live, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - done
+        x = at[start[live] + done] & MASK[np.minimum(left, 8)]
+        one[live] = mix(one[live] ^ x)
+        if two:
+            other[live] = mix(other[live] * np.uint64(0x9FB21C651E98DF25) + x)
+        live, done = live[left > 8], done + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest()
+        one[i] = int.from_bytes(digest[:8], "little")
+        if two:
+            other[i] = int.from_bytes(digest[8:], "little")
+    return one, other
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hashes(data, start, end, two=False)[0]
+
+
+def same_spans(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes at two places are equal, byte by byte."""
+    out, x, y = np.ones(len(size), bool), eights(a), eights(b)
+    live, done = np.flatnonzero(size > 0), 0
+    while len(live) and done < LONG:
+        left = size[live] - done
+        equal = ((x[at_a[live] + done] ^ y[at_b[live] + done]) & MASK[np.minimum(left, 8)]) == 0
+        out[live[~equal]] = False
+        live, done = live[equal & (left > 8)], done + 8
+    for i in live.tolist():
+        out[i] = np.array_equal(a[at_a[i] : at_a[i] + size[i]], b[at_b[i] : at_b[i] + size[i]])
     return out
 
 
-def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, q = powers(len(pre))
-    return mix((pre[end] - pre[start]) * q[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def contains(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def column(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ def content_view(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     byte = np.bincount(row * 256 + data, minlength=rows * 256).reshape(rows, 256) / size
     low = B.LOWER[data]
     start, end, of = B.spans(B.ALNUM[low], offs)
-    slot = (B.span_hash(B.prefix(low), start, end) % np.uint64(WORDS)).astype(np.int64)
+    slot = (B.span_hash(low, start, end) % np.uint64(WORDS)).astype(np.int64)
     word = np.bincount(of * WORDS + slot, minlength=rows * WORDS).reshape(rows, WORDS) / np.maximum(1, np.bincount(of, minlength=rows))[:, None]
     again = (slot[1:] == slot[:-1]) & (of[1:] == of[:-1]) if len(of) else np.zeros(0, bool)
     twice = np.bincount(of[1:][again], minlength=rows) / np.maximum(1, np.bincount(of, minlength=rows)) if len(of) else np.zeros(rows)

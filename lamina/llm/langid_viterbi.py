@@ -45,7 +45,7 @@ def _features(data: np.ndarray, offs: np.ndarray):
     edge = offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(byte))]
     before[edge], after[edge - 1] = 32, 32
     tri = ((before * np.uint32(0x01000193) ^ byte) * np.uint32(0x85EBCA6B) ^ after) * np.uint32(0xC2B2AE35)
-    word = B.span_hash(B.prefix(low), start, end)
+    word = B.span_hash(low, start, end)
     bounds = np.stack([start, np.minimum(end, len(byte) - 1)], 1).ravel()
     script = np.maximum.reduceat(SCRIPT[data], bounds[:-1] if bounds[-1] >= len(byte) else bounds)[::2]
     script = np.where(end - start == 1, SCRIPT[data[start]], script)

@@ -1,13 +1,17 @@
 """Line deduplication with two Bloom filters (operator 9).
 
-A first pass over the texts fills two bit sets by the hash of each line key: the
-bits seen once and the bits seen at least twice. The sets of all tasks merge as
-``twice = t1 | t2 | (o1 & o2)``, ``once = o1 | o2``, so a key in two documents
-always ends in ``twice``. A second pass sends on only the keys found there. Those
-are confirmed exactly, by the key itself, and the smallest document keeps them.
-
-The filter's size follows the number of rows up to ``max_bits``; beyond that it
-only gets fuller, which makes more suspects and never a wrong result.
+A first pass over the texts sends the hashes of line keys, each once a batch, to the
+shards of two Bloom filters: hashes seen once and hashes seen at least twice. Both bits
+of a hash lie in one shard, so a shard is filled by one task with two small bit sets. A
+second pass sends on only the keys found in the second filter. Those are confirmed
+exactly, by the key itself, and the smallest document keeps them.
+
+The second filter is broadcast while it has at most ``max_bits``. Beyond that no filter
+travels: the shards name the hashes that they met again, and hashes (never texts) are
+joined with those, which says whose lines are suspects.
+
+Texts without a dropped line stay where they are: a Bloom filter of the documents that
+lose lines splits the table, and only the others are joined with what they lose.
 """
 
 from __future__ import annotations
@@ -16,154 +20,232 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytewise as B
-from .shared import LAST_ID, WS, ascii_lower, partitions, small_batches, written
+from .shared import LAST_ID, UPPER, WS, partitions, small_batches, written
 
-SEGMENT = 1 << 16  # bytes
+SHARD = 1 << 19  # bits
 SALT = np.uint64(0xA0761D6478BD642F)
+LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
 def _keys(data: np.ndarray, offs: np.ndarray, least: int):
-    """(row, hash, start, end) of the distinct long keys of each row."""
+    """(bytes, row, hash, start, end) of the distinct long keys of each row, compared by their bytes."""
     low = B.LOWER[data]
     start, end, row = B.lines(data, offs)
     start, end = B.stripped(data, start, end)
     points = B.code_points(data)
     long = np.flatnonzero(points[end] - points[start] >= least)
     start, end, row = start[long], end[long], row[long]
-    h = B.span_hash(B.prefix(low), start, end)
+    h = B.span_hash(low, start, end)
     order = np.lexsort((h, row))
+    start, end, row, h = start[order], end[order], row[order], h[order]
     new = np.ones(len(order), bool)
-    new[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])
-    at = order[new]
-    return low, row[at], h[at], start[at], end[at]
+    again = 1 + np.flatnonzero((row[1:] == row[:-1]) & (h[1:] == h[:-1]) & ((end - start)[1:] == (end - start)[:-1]))
+    new[again] = ~B.same_spans(low, start[again], low, start[again - 1], (end - start)[again])
+    return low, row[new], h[new], start[new], end[new]
 
 
-def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (h % np.uint64(bits)).astype(np.int64), (B.mix(h ^ SALT) % np.uint64(bits)).astype(np.int64)
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a hash in its shard."""
+    x = B.mix(h ^ SALT)
+    return (x & np.uint64(SHARD - 1)).astype(np.int64), ((x >> np.uint64(32)) & np.uint64(SHARD - 1)).astype(np.int64)
 
 
-def _has(bitset: np.ndarray, places) -> np.ndarray:
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+
+
+def _has(bits: np.ndarray, places, base=0) -> np.ndarray:
     out = True
     for p in places:
-        out = out & ((bitset[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
+        at = p + base
+        out = out & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
     return out
 
 
-def _put(bitset: np.ndarray, places) -> None:
+def _put(bits: np.ndarray, places) -> None:
     for p in places:
-        np.bitwise_or.at(bitset, p >> 3, np.left_shift(np.uint8(1), (p & 7).astype(np.uint8)))
+        np.bitwise_or.at(bits, p >> 3, np.left_shift(np.uint8(1), (p & 7).astype(np.uint8)))
 
 
-def _fill(bits: int, least: int):
+def _hashes(shards: int, least: int):
+    """(shard, hash, in several rows) of every key, once a chunk of a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
         for batch in batches:
             for _, _, data, offs in B.chunks(batch.column(0)):
                 h, n = np.unique(_keys(data, offs, least)[2], return_counts=True)
-                places = _places(h, bits)
-                again = (n > 1) | _has(once, places)
-                _put(twice, [p[again] for p in places])
+                yield pa.RecordBatch.from_arrays([pa.array(_shard(h, shards)), pa.array(h.view(np.int64)), pa.array(n > 1)], names=["shard", "h", "several"])
+
+    return run
+
+
+def _fill(named: bool):
+    """Fill one shard after the other; rows arrive sorted by shard.
+
+    Yields the bits of what was seen twice, or the hashes that were (``named``).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, once, twice = -1, None, None
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["shard", "bits"])
+
+        for batch in batches:
+            shard, h, several = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            edge = np.flatnonzero(np.diff(shard)) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(shard)], strict=True):
+                if a == b:
+                    continue
+                if shard[a] != now:
+                    if now >= 0 and not named:
+                        yield out()
+                    now, once, twice = int(shard[a]), np.zeros(SHARD >> 3, np.uint8), np.zeros(SHARD >> 3, np.uint8)
+                own, n = np.unique(h[a:b].view(np.uint64), return_counts=True)
+                more = np.isin(own, h[a:b][several[a:b].astype(bool)].view(np.uint64))
+                places = _places(own)
+                again = more | (n > 1) | _has(once, places)
                 _put(once, places)
-        for k in range(0, bits >> 3, SEGMENT):
-            o, t = once[k : k + SEGMENT], twice[k : k + SEGMENT]
-            if o.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k // SEGMENT], pa.int32()), pa.array([zlib.compress(o.tobytes(), 1)], pa.binary()), pa.array([zlib.compress(t.tobytes(), 1)], pa.binary())],
-                    names=["segment", "once", "twice"],
-                )
+                if named:
+                    yield pa.RecordBatch.from_arrays([pa.array(own[again].view(np.int64))], names=["h"])
+                else:
+                    _put(twice, [p[again] for p in places])
+        if now >= 0 and not named:
+            yield out()
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold the segments, which arrive sorted, with two segments in memory."""
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["segment", "twice"])
-
-    now, once, twice = -1, None, None
-    for batch in batches:
-        for seg, o, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
-            if seg == now:
-                twice = twice | t | (once & o)
-                once = once | o
-                continue
-            if now >= 0 and twice.any():
-                yield out()
-            now, once, twice = seg, o, t
-    if now >= 0 and twice.any():
-        yield out()
-
-
-def twice_seen(docs: DataFrame, *, bits: int, least: int = 10) -> bytes:
-    """The bit set of hashes that at least two documents may share: ``bits // 8`` bytes."""
-    parts = docs.select("text").mapInArrow(_fill(bits, least), "segment int, once binary, twice binary")
-    n = min(partitions(docs.sparkSession), max(1, (bits >> 3) // SEGMENT))
-    merged = parts.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment int, twice binary")
-    whole = np.zeros(bits >> 3, np.uint8)
-    for seg, t in merged.collect():  # at most bits / 8 bytes
-        part = np.frombuffer(zlib.decompress(t), np.uint8)
-        whole[seg * SEGMENT : seg * SEGMENT + len(part)] = part
+def _by_shard(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "shard").sortWithinPartitions("shard")
+
+
+def _collected(shards_of: DataFrame, shards: int) -> bytes:
+    """The bits of all shards: ``shards * SHARD / 8`` bytes on the driver."""
+    whole = np.zeros(shards * SHARD >> 3, np.uint8)
+    for shard, bits in shards_of.toLocalIterator():
+        whole[shard * SHARD >> 3 : (shard + 1) * SHARD >> 3] = np.frombuffer(zlib.decompress(bits), np.uint8)
     return whole.tobytes()
 
 
-def _suspects(filter_of, bits: int, least: int):
+def _suspects(filter_of, shards: int, least: int):
+    """(owner, part, h, key) of the keys in the filter; of all keys where it is None."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.frombuffer(filter_of.value, np.uint8)
+        twice = np.frombuffer(filter_of.value, np.uint8) if filter_of else None
         for batch in batches:
-            ids = batch.column(0)
-            for a, b, data, offs in B.chunks(batch.column(1)):
+            for a, b, data, offs in B.chunks(batch.column(2)):
                 low, row, h, start, end = _keys(data, offs, least)
-                hit = np.flatnonzero(_has(twice, _places(h, bits)))
+                if twice is not None:
+                    hit = np.flatnonzero(_has(twice, _places(h), _shard(h, shards) * SHARD))
+                    row, h, start, end = row[hit], h[hit], start[hit], end[hit]
                 raw = low.tobytes()
-                keys = [raw[s:e].decode() for s, e in zip(start[hit].tolist(), end[hit].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(row[hit])), pa.array(keys, pa.string())], names=["owner", "key"])
+                keys = [raw[s:e].decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a).take(at) for c in batch.columns[:2]), pa.array(h.view(np.int64)), pa.array(keys, pa.string())], names=["owner", "part", "h", "key"])
 
     return run
 
 
+class _Holders:
+    """A Bloom filter of (owner, part), of ``max_bits`` at most; fuller beyond, so more rows are joined."""
+
+    def __init__(self, holders: DataFrame, count: int, max_bits: int):
+        spark = holders.sparkSession
+        self.shards = shards = max(1, min(max_bits, 16 * count) // SHARD)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = B.mix(batch.column(0).to_numpy().view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(_shard(h, shards)), pa.array(h.view(np.int64)), pa.array(np.ones(len(h), bool))], names=["shard", "h", "several"])
+
+        sent = _by_shard(holders.select(F.xxhash64("owner", "part")).mapInArrow(rows, "shard long, h long, several boolean")).mapInArrow(_fill(False), "shard long, bits binary")
+        self.bits = spark.sparkContext.broadcast(_collected(sent, shards))
+
+    def may_hold(self, owner: Column, part: Column) -> Column:
+        bits, shards = self.bits, self.shards
+
+        @F.pandas_udf(T.BooleanType())
+        def test(key: pd.Series) -> pd.Series:
+            h = B.mix(key.to_numpy(np.int64).view(np.uint64))
+            return pd.Series(_has(np.frombuffer(bits.value, np.uint8), _places(h), _shard(h, shards) * SHARD))
+
+        return test(F.xxhash64(owner, part))
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_dropped", T.LongType())]))
+def _without(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    """Each text without the lines whose key is in ``gone``, by a set."""
+    out, dropped = [], []
+    for t, keys in zip(text, gone, strict=True):
+        if keys is None or t is None:
+            out.append(t)
+            dropped.append(0)
+            continue
+        drop, lines = set(keys), t.split("\n")
+        stay = [x for x in lines if x.strip(WS).translate(LOWER) not in drop]
+        out.append("\n".join(stay))
+        dropped.append(len(lines) - len(stay))
+    return pd.DataFrame({"text": pd.Series(out, dtype=object), "n_dropped": pd.Series(dropped, dtype="int64")})
+
+
 def dedup_lines(docs: DataFrame, *, least: int = 10, bits: int | None = None, lines_per_doc: int = 16, bits_per_line: int = 16, max_bits: int = 1 << 30) -> DataFrame:
     """Drop each repeated line except in the document with the smallest ``doc_id``.
 
     A line's key is the line without white space at both ends, A-Z lower-cased.
     Keys of at least ``least`` code points in two or more documents lose all
     lines outside the smallest ``doc_id`` that holds them. Other lines stay.
+    ``bits``: of one filter; by default from the number of rows.
 
     Returns every column of ``docs`` with ``text`` shortened, and ``n_lines`` and
     ``n_dropped`` (columns of those names are replaced).
 
     Defined cases: a null or empty text is one empty line and stays as it is; rows
-    with the same ``doc_id`` count as one document and keep their own rows; a null
-    ``doc_id`` counts as one document that comes after all others; an empty table
-    gives an empty table.
+    with the same ``doc_id`` count as one document and keep their own rows; rows with
+    a null ``doc_id`` count as one document that comes after all others (their work is
+    split by text); an empty table gives an empty table; other columns may have any name.
     """
     spark = docs.sparkSession
-    if bits is None:
-        want = max(1, docs.count()) * lines_per_doc * bits_per_line
-        bits = max(SEGMENT * 8, min(max_bits, 1 << (want - 1).bit_length()))
+    rows = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")]).alias("row"))
     owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    part = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    if bits is None:
+        bits = max(1, docs.count()) * lines_per_doc * bits_per_line
+    shards = max(1, -(-bits // SHARD))
+    keyed = rows.select(owner.alias("owner"), part.alias("part"), "text")
+    found = "owner long, part long, h long, key string"
     with small_batches(spark):
-        sent = spark.sparkContext.broadcast(twice_seen(docs, bits=bits, least=least))
-        # the keys of one document are distinct, except where rows share an id
-        suspects = written(docs.select(owner.alias("owner"), "text").mapInArrow(_suspects(sent, bits, least), "owner long, key string"), "suspects")
-    counted = suspects.groupBy("key").agg(F.min("owner").alias("first"), F.max("owner").alias("last"))
-    # read from a table, both sides of the join are dealt anew, so Spark can split a hot key
-    repeated = written(counted.filter("first < last").select("key", "first"), "repeated")
-    gone = suspects.join(repeated, "key").filter("owner <> first").groupBy("owner").agg(F.collect_set("key").alias("_gone"))
-    text = F.coalesce("text", F.lit(""))
-    rest = docs.drop("n_lines", "n_dropped").withColumn("_owner", owner).join(gone.withColumnRenamed("owner", "_owner"), "_owner", "left")
-    split = F.split(text, "\n", -1)
-    stays = F.filter(split, lambda x: ~F.array_contains("_gone", ascii_lower(F.btrim(x, F.lit(WS)))))
-    rest = rest.withColumn("_stays", F.when(F.col("_gone").isNotNull(), stays))
-    n_lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
-    columns = [F.when(F.col("_stays").isNull(), F.col("text")).otherwise(F.array_join("_stays", "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return rest.select(*columns, n_lines.cast("long").alias("n_lines"), F.when(F.col("_stays").isNull(), 0).otherwise(n_lines - F.size("_stays")).cast("long").alias("n_dropped"))
+        hashes = _by_shard(keyed.select("text").mapInArrow(_hashes(shards, least), "shard long, h long, several boolean"))
+        if shards * SHARD <= max(max_bits, SHARD):
+            sent = spark.sparkContext.broadcast(_collected(hashes.mapInArrow(_fill(False), "shard long, bits binary"), shards))
+            suspects = written(keyed.mapInArrow(_suspects(sent, shards, least), found).drop("h"), "suspects")
+        else:
+            again = written(hashes.mapInArrow(_fill(True), "h long").distinct(), "again")
+            own = written(keyed.mapInArrow(_suspects(None, shards, least), found).drop("key").join(again, "h", "left_semi").select("owner", "part").distinct(), "own")
+            holders = _Holders(own, own.count(), max_bits)
+            some = keyed.filter(holders.may_hold(F.col("owner"), F.col("part")))
+            suspects = written(some.mapInArrow(_suspects(None, shards, least), found).join(again, "h", "left_semi").drop("h"), "suspects")
+        counted = suspects.groupBy("key").agg(F.min("owner").alias("first"), F.max("owner").alias("last"))
+        # read from a table, both sides of the join are dealt anew, so Spark can split a hot key
+        repeated = written(counted.filter("first < last").select("key", "first"), "repeated")
+        gone = written(suspects.join(repeated, "key").filter("owner <> first").groupBy("owner", "part").agg(F.collect_set("key").alias("gone")), "gone")
+        loses = _Holders(gone, gone.count(), max_bits).may_hold(owner, part)
+        marked = rows.withColumn("loses", loses)
+        changed = marked.filter("loses").withColumn("owner", owner).withColumn("part", part).join(gone, ["owner", "part"], "left")
+        changed = written(changed.select("row", _without("text", "gone").alias("new")), "changed")
+    n_lines = lambda t: (F.length(F.coalesce(t, F.lit(""))) - F.length(F.translate(F.coalesce(t, F.lit("")), "\n", "")) + 1).cast("long").alias("n_lines")
+    fields = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    stay = [F.col("row")[c].alias(c) for c in fields]
+    cut = [F.col("new.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in fields]
+    same = marked.filter("not loses").select(*stay, n_lines(F.col("text")), F.lit(0).cast("long").alias("n_dropped"))
+    return same.unionByName(changed.select(*cut, n_lines(F.col("row.text")), F.col("new.n_dropped").alias("n_dropped")))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

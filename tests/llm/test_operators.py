@@ -40,7 +40,7 @@ def test_line_dedup(docs):
 
 
 def test_line_dedup_small_filter_and_edges(spark, docs):
-    got = rows(line_bloom.dedup_lines(docs, bits=line_bloom.SEGMENT * 8), "n_dropped")
+    got = rows(line_bloom.dedup_lines(docs, bits=line_bloom.SHARD), "n_dropped")
     assert {i: (x[1],) for i, x in brute.line_dedup(TEXTS).items()} == got
     assert line_bloom.dedup_lines(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "a line to repeat"), (1, "a line to repeat"), (None, "A LINE to repeat"), (None, "a line to repeat\nx")], "doc_id long, text string")
@@ -48,6 +48,31 @@ def test_line_dedup_small_filter_and_edges(spark, docs):
     assert found == [(0, 1, ""), (0, 1, "x"), (1, 0, "a line to repeat"), (1, 0, "a line to repeat")]
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_lines_without_a_filter_and_with_one_algebra(spark, docs):
+    """Beyond max_bits hashes are joined; lines that a polynomial hash would take for equal stay apart."""
+    s, t = thue_morse(2048), thue_morse(2048, "b", "a")
+    texts = TEXTS + [(20, f"{s}\n{t}\n{s}"), (21, t), (22, s + "\nhead"), (24, "\n".join(f"line number {i} of many" for i in range(20_000))), (25, "\n".join(f"line number {i} of many" for i in range(0, 20_000, 2)))]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = {i: (n, d, kept) for i, (n, d, kept) in brute.line_dedup(texts).items()}
+    for options in ({}, {"bits": 4 * line_bloom.SHARD, "max_bits": line_bloom.SHARD}):
+        got = rows(line_bloom.dedup_lines(frame, **options), "n_lines", "n_dropped", "text")
+        assert {i: (a, b, c or "") for i, (a, b, c) in got.items()} == want
+
+
+def test_lines_of_many_rows_without_id_and_odd_columns(spark):
+    texts = [(None, f"a shared line of text\nown line number {i}") for i in range(40)] + [(3, "A shared line of text")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    for c in ("_owner", "owner", "part", "gone", "row", "loses", "new", "n_dropped"):
+        frame = frame.withColumn(c, F.lit("mine"))
+    out = line_bloom.dedup_lines(frame)
+    assert out.columns == ["doc_id", "text", "_owner", "owner", "part", "gone", "row", "loses", "new", "n_lines", "n_dropped"]
+    assert sorted((r["doc_id"] or 0, r["n_dropped"], r["gone"]) for r in out.collect()) == [(0, 1, "mine")] * 40 + [(3, 0, "mine")]
+
+
 def test_quality_rules(spark, docs):
     out = quality_rules.judge(docs)
     assert out.columns.count("kept") == 1
@@ -93,6 +118,51 @@ def test_longest_matches_have_places(spark):
     assert [tuple(m) for m in out.first()["matches"]] == [("4", 5, 2, 20)]
 
 
+def test_one_word_many_times(spark):
+    """Ranges of hits stay ranges: no place of the text meets every place of the item."""
+    frame = spark.createDataFrame([(1, "w " * 100_000), (2, "w " * 9_999 + "v"), (3, "w w w"), (4, "a b " * 30_000), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "w " * 10_000), (2, "b a " * 6_000), (3, "b")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], max((m["length"] for m in r["matches"]), default=0)) for r in suffix_decon.contamination(frame, bench).collect()}
+    assert got == {1: (100_000, 100_000, ["1"], 10_000), 2: (10_000, 9_999, ["1"], 9_999), 3: (3, 0, [], 0), 4: (60_000, 60_000, ["2", "3"], 12_000), 5: (0, 0, [], 0)}
+
+
+def test_words_with_one_hash(spark, monkeypatch):
+    """Equal hashes of different words change nothing: words are compared by their bytes."""
+    import numpy as np
+
+    monkeypatch.setattr(bytewise, "span_hash", lambda data, start, end: np.zeros(len(start), np.uint64))
+    block = suffix_decon.block_of([("1", "red green blue"), ("2", "one")], 13)
+    low = np.frombuffer(b"red green blue pink one", np.uint8)
+    start, end, _ = bytewise.spans(bytewise.ALNUM[low], np.array([0, len(low)]))
+    assert suffix_decon._ids(block, low, start, end).tolist() == [1, 2, 3, 0, 4]
+
+
+def test_longest_match_of_random_texts():
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(40):
+        texts, items = ([" ".join(rng.choice("ab") for _ in range(rng.randrange(0, 60))) for _ in range(n)] for n in (4, 5))
+        block = suffix_decon.block_of([(str(i), t) for i, t in enumerate(items)], 4)
+        seq, begin = [], []
+        for t in texts:
+            begin.append(len(seq))
+            low = np.frombuffer(t.encode(), np.uint8)
+            start, end, _ = bytewise.spans(bytewise.ALNUM[low], np.array([0, len(low)]))
+            seq += [*suffix_decon._ids(block, low, start, end).tolist(), 0]
+        seq = np.array(seq, np.int64)
+        at, length, of = suffix_decon.search(block, seq, np.array(begin))[3]
+        for p, n, q in zip(at.tolist(), length.tolist(), of.tolist(), strict=True):
+            assert (seq[p : p + n] == block["seq"][q : q + n]).all() and (seq[p : p + n] > 0).all()
+            longest = 0
+            for k in range(len(block["seq"])):
+                m = 0
+                while p + m < len(seq) and k + m < len(block["seq"]) and seq[p + m] == block["seq"][k + m] > 0:
+                    m += 1
+                longest = max(longest, m)
+            assert n in (longest, 1)
+
+
 def near_copies(seed, groups=12):
     rng = random.Random(seed)
     passage = [f"p{i}" for i in range(40)]
@@ -282,8 +352,7 @@ def test_byte_kernels():
     assert row.tolist() == [0, 0, 3, 3] and [bytes(data[s:e]) for s, e in zip(start, end, strict=True)] == [b"a", b"b", b"c", b"d"]
     start, end, row = bytewise.lines(data, offs)
     assert row.tolist() == [0, 1, 2, 3, 3] and [bytes(data[s:e]) for s, e in zip(start, end, strict=True)] == [b"a b", b"", b"", b"c", b"d"]
-    pre = bytewise.prefix(data)
-    assert len({int(h) for h in bytewise.span_hash(pre, start, end)}) == 4
+    assert len({int(h) for h in bytewise.span_hash(data, start, end)}) == 4
 
 
 def test_registry():
