@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .shared import LAST_ID, partitions, release, small_batches, table, written
+from .shared import LAST_ID, partitions, release, scratch, small_batches, table, written
 
 ROWS = 256  # in a chunk: a row's number and 56 bits of a hash share 64 bits of a sort key
 BYTES = 1 << 20
@@ -393,7 +393,7 @@ class _Join:
 def _slots(sizes: DataFrame, rows: int, key: str) -> DataFrame:
     """Keys that hold many rows, with the slots among which they are dealt: a few for each partition at most."""
     many = max(200, rows // (4 * partitions(sizes.sparkSession)))
-    return written(sizes.filter(F.col("count") > many).select(F.col(key).alias("_hot"), (F.col("count") / many + 1).cast("int").alias("_slots")), "hot")
+    return written(sizes.filter(F.col("count") > many).groupBy(F.col(key).alias("_hot")).agg((F.max("count") / many + 1).cast("int").alias("_slots")), "hot")
 
 
 def _dealt(rows: DataFrame, hot: DataFrame, key: str, by: str | None) -> DataFrame:
@@ -418,14 +418,22 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     ``component_id`` if it is alone) null; an empty table gives an empty table; other
     columns are not read.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(written(_classes(docs, k, num, den, sample, tile), "classes"))
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int, sample: int, tile: int) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("owner"), "text")
     spark, bands = docs.sparkSession, Bands(num, den)
     with small_batches(spark):
         marks = spark.sparkContext.broadcast(frequent_parts(texts, k, bands, sample=sample))
         made = written(texts.mapInArrow(_sketcher(k, bands, marks), "owner long, n long, h1 long, h2 long, narrow binary, sigs array<long>"), "sketches")
-    classes = made.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("owner").alias("node"))
+    classes = written(made.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("owner").alias("node"), F.count("*").alias("count")).withColumn("class", F.xxhash64("n", "h1", "h2")), "classes")
     sets = made.select("owner", "n", "h1", "h2")
-    named = sets.filter("n > 0").join(classes, ["n", "h1", "h2"]).select("owner", "n", "node")
+    # a large group of equal sets is dealt among slots
+    copied = _slots(classes, classes.agg(F.sum("count")).first()[0] or 0, "class")
+    dealt = _dealt(sets.filter("n > 0").withColumn("class", F.xxhash64("n", "h1", "h2")), copied, "class", "owner")
+    named = dealt.join(_dealt(classes.drop("count"), copied, "class", None), ["n", "h1", "h2", "class", "_slot"]).select("owner", "n", "node")
     nodes = written(named.unionByName(sets.filter("n = 0").select("owner", "n", F.col("owner").alias("node"))), "nodes")
     # a document with several sets joins their classes
     several = nodes.groupBy("owner").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("owner", "a")
@@ -493,7 +501,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Of rows that share a ``doc_id`` one stays, the first by text. Rows with a null
     ``doc_id`` stay unless they link with a document that has one.
     """
-    found = written(similarity_classes(docs, **options), "found")
+    found = similarity_classes(docs, **options)
     gone = written(found.filter("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_gone")).distinct(), "gone")
     owner = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID))
     kept = docs.join(_small(gone), owner == F.col("_gone"), "left_anti")

@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 
 WS = " \t\n\x0b\f\r"  # the class [\x20\x09-\x0D]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_made: list[list[str]] = []  # paths of the open blocks of ``scratch``
 LAST_ID = 9223372036854775807  # stands for a null id, which sorts after every other
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset a temporary one stands in,
+    but only on a local master: elsewhere executors could not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lamina-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,12 +55,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lamina_path = path
+    if _made:
+        _made[-1].append(path)
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the table behind a frame made by ``written``."""
-    drop_path(df.sparkSession, df._lamina_path)
+def release(*tables: DataFrame) -> None:
+    """Delete the tables behind frames made by ``written``, which no later plan reads."""
+    for df in tables:
+        drop_path(df.sparkSession, df._lamina_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written in the block are deleted at its end; yields a function that spares one."""
+    _made.append([])
+    spared: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        spared.append(df._lamina_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _made.pop():
+            if path not in spared:
+                drop_path(spark, path)
+        if _made:
+            _made[-1].extend(spared)
 
 
 @contextmanager
