@@ -12,9 +12,11 @@ reads will do; a text value may hold any bytes.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -31,6 +33,7 @@ ARC_FIELDS = {
 }
 SOURCE = "X-Page-Id"  # HTTP header that carries the row's id
 YIELD = 4 << 20
+MAX_HEAD = 1 << 16  # bytes of a header line
 
 
 def _payload(html: str | None) -> bytes:
@@ -75,42 +78,90 @@ def write_arc(pages: DataFrame, path: str, *, version: int | None = None, date:
 
 
 def _inflate(raw: bytes) -> bytes:
-    """The content of a gzip file of one or more members; other bytes as they are."""
+    """The content of a gzip file of one or more members, up to where it is broken; other
+    bytes as they are."""
     if raw[:2] != b"\x1f\x8b":
         return raw
     out = []
     while raw:
         one = zlib.decompressobj(31)
-        out.append(one.decompress(raw))
-        out.append(one.flush())
-        raw = one.unused_data.lstrip(b"\0")
+        try:
+            for k in range(0, len(raw), YIELD):
+                out.append(one.decompress(raw[k : k + YIELD]))
+                if one.eof:
+                    raw = one.unused_data + raw[k + YIELD :]
+                    break
+            else:
+                out.append(one.flush())
+                break
+        except zlib.error:
+            break
+        raw = raw.lstrip(b"\0")
+        if raw[:2] != b"\x1f\x8b":
+            break
     return b"".join(out)
 
 
-def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields by lower-case name, block) of every record, ``filedesc`` included.
+_HEAD = re.compile(rb"[^\s]\S* .*\d{4,14} .*?(\d+)\r?$")
 
-    The length is always the last field; a URL with spaces keeps them, since the
-    other fields are counted from the right.
+
+class Arc(NamedTuple):
+    """A record of an ARC file. ``defect``: null, ``short`` (the file ends within the block)
+    or ``damaged`` (bytes in which no record header could be read, kept as the block)."""
+
+    offset: int
+    head: dict[str, str]
+    block: bytes
+    defect: str | None
+
+
+def _header(line: bytes, fields: list[str]) -> dict[str, str] | None:
+    """The fields of a header line, or None if it isn't one. The length is always the last
+    field; a URL with spaces keeps them, since the others are counted from the right."""
+    if len(line) > MAX_HEAD or not _HEAD.match(line):
+        return None
+    parts = line.rstrip(b"\r").decode("utf-8", "replace").rsplit(" ", len(fields) - 1)
+    if len(parts) != len(fields) or not parts[-1].isdigit():
+        return None
+    return dict(zip((f.lower() for f in fields), parts, strict=True))
+
+
+def arc_records(data: bytes) -> Iterator[Arc]:
+    """Every record of a file, ``filedesc`` included, by declared lengths.
+
+    Where a header line can't be read, the bytes up to the next readable one are one
+    ``damaged`` record; a block that the file's end cuts off is ``short``. A file without
+    a ``filedesc`` record is read as version 1.
     """
-    at, fields = 0, ARC_FIELDS[1].split()
+    at, fields, lost = 0, ARC_FIELDS[1].split(), None
     while at < len(data):
-        if data[at : at + 1] in b"\r\n":
+        if data[at : at + 1] in b"\r\n" and lost is None:
             at += 1
             continue
-        end = data.index(b"\n", at)
-        line = data[at:end].rstrip(b"\r").decode("utf-8", "replace")
-        if at == 0:
-            length = int(line.rsplit(" ", 1)[1])
-            named = data[end + 1 : end + 1 + length].decode("utf-8", "replace").split("\n")
+        end = data.find(b"\n", at)
+        line = data[at:] if end < 0 else data[at:end]
+        own = fields
+        if line.startswith(b"filedesc:") and len(line) <= MAX_HEAD and (length := _HEAD.match(line)):
+            named = data[end + 1 : end + 1 + int(length[1])].decode("utf-8", "replace").split("\n") if end >= 0 else []
             if len(named) > 1 and named[1].strip():
                 fields = named[1].split()
-            elif named[0][:1] == "2":
+            elif named and named[0][:1] == "2":
                 fields = ARC_FIELDS[2].split()
-        parts = line.rsplit(" ", len(fields) - 1)
-        length = int(parts[-1])
-        yield at, dict(zip((f.lower() for f in fields), parts, strict=False)), data[end + 1 : end + 1 + length]
+            own = fields
+        head = _header(line, own) if end >= 0 else None
+        if head is None:
+            lost = at if lost is None else lost
+            at = len(data) if end < 0 else end + 1
+            continue
+        if lost is not None:
+            yield Arc(lost, {"url": ""}, data[lost:at], "damaged")
+            lost = None
+        length = int(head[fields[-1].lower()])
+        block = data[end + 1 : end + 1 + length]
+        yield Arc(at, head, block, "short" if len(block) < length else None)
         at = end + 1 + length
+    if lost is not None and data[lost:].strip():
+        yield Arc(lost, {"url": ""}, data[lost:], "damaged")
 
 
 def http_parts(block: bytes) -> tuple[bytes, bytes]:
@@ -136,8 +187,8 @@ def warc_date(arc_date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-RECORD = "record_id string, source long, url string, ip string, date string, type string, http binary, payload binary, digest string, size long"
-_RECORD = pa.schema([("record_id", pa.string()), ("source", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("type", pa.string()), ("http", pa.binary()), ("payload", pa.binary()), ("digest", pa.string()), ("size", pa.int64())])
+RECORD = "record_id string, source long, url string, ip string, date string, type string, http binary, payload binary, digest string, size long, defect string"
+_RECORD = pa.schema([("record_id", pa.string()), ("source", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("type", pa.string()), ("http", pa.binary()), ("payload", pa.binary()), ("digest", pa.string()), ("size", pa.int64()), ("defect", pa.string())])
 
 
 def _parse_arc(with_payload: bool):
@@ -145,14 +196,15 @@ def _parse_arc(with_payload: bool):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held, size, name = [], 0, path.rsplit("/", 1)[-1]
-                for at, head, block in arc_records(_inflate(content.as_py())):
+                for at, head, block, defect in arc_records(_inflate(content.as_py())):
                     http, payload = http_parts(block)
                     info = head["url"].startswith("filedesc:")
                     if not info or with_payload:
                         mark = header_of(http, SOURCE)
+                        mark = mark if mark and mark.lstrip("-").isdigit() else None
                         held.append((
                             f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{at}')}>", int(mark) if mark else None, head["url"], head.get("ip-address", ""), warc_date(head.get("archive-date", "")),
-                            "warcinfo" if info else "response" if http else "resource", http if with_payload else None, payload if with_payload else None, hashlib.sha256(payload).hexdigest(), len(payload),
+                            "damaged" if defect == "damaged" else "warcinfo" if info else "response" if http else "resource", http if with_payload else None, payload if with_payload else None, hashlib.sha256(payload).hexdigest(), len(payload), defect,
                         ))
                         size += len(block)
                     if size >= YIELD:
@@ -165,8 +217,10 @@ def _parse_arc(with_payload: bool):
 
 
 def read_arc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
-    """The records of ARC files; without ``payload`` only what deduplication needs."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    """The records of ARC files, gzipped or plain; without ``payload`` only what deduplication
+    needs. ``defect`` says ``short`` where a file ends within a record, and ``damaged`` for
+    bytes without a readable header, which come as records of type ``damaged``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,arc}").load(path).select("path", "content")
     return files.mapInArrow(_parse_arc(payload), RECORD)
 
 
@@ -180,22 +234,26 @@ def convert(spark: SparkSession, arc: str, warc: str, *, least: int = LEAST, bro
     Of records with equal payloads of ``least`` bytes or more, the one with the
     smallest source id (then record id; ids that are null come last) stays what it
     is, and the others become revisits without payload. Payloads are shuffled only
-    when more than ``broadcast_rows`` payloads are repeated.
+    when more than ``broadcast_rows`` payloads are repeated. A short record is written with
+    what there is of it, marked as truncated, and never a revisit; damaged bytes become a
+    resource record of their own, so nothing is lost silently.
     """
     rank = F.struct(F.coalesce("source", F.lit(LAST_ID)).alias("source"), F.col("record_id"))
-    seen = read_arc(spark, arc, payload=False).filter(F.col("size") >= least)
+    whole = F.col("defect").isNull() & (F.col("size") >= least)
+    seen = read_arc(spark, arc, payload=False).filter(whole)
     by = seen.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     firsts = written(by.filter("n > 1").select(F.col("digest").alias("_digest"), F.col("first.record_id").alias("_first")), "firsts")
     side = F.broadcast(firsts) if firsts.count() <= broadcast_rows else firsts
-    rows = read_arc(spark, arc).join(side, (F.col("digest") == F.col("_digest")) & (F.col("size") >= least) & (F.col("type") != "warcinfo"), "left")
+    rows = read_arc(spark, arc).join(side, (F.col("digest") == F.col("_digest")) & whole & (F.col("type") != "warcinfo"), "left")
     revisit = F.col("_first").isNotNull() & (F.col("_first") != F.col("record_id"))
-    kind = F.when(revisit, "revisit").otherwise(F.col("type"))
+    kind = F.when(revisit, "revisit").when(F.col("type") == "damaged", "resource").otherwise(F.col("type"))
     block = F.when(revisit, F.col("http")).otherwise(F.concat("http", "payload"))
-    media = F.when(F.col("type") == "warcinfo", "application/warc-fields").when(F.col("type") == "resource", "application/octet-stream").otherwise("application/http; msgtype=response")
+    media = F.when(F.col("type") == "warcinfo", "application/warc-fields").when(F.col("type").isin("resource", "damaged"), "application/octet-stream").otherwise("application/http; msgtype=response")
     head = _crlf(
         "WARC/1.0\r\nWARC-Type: ", kind, "\r\nWARC-Record-ID: ", F.col("record_id"), "\r\nWARC-Date: ", F.col("date"), "\r\n",
-        F.when(F.col("type") == "warcinfo", "").otherwise(_crlf("WARC-Target-URI: ", F.col("url"), "\r\nWARC-IP-Address: ", F.col("ip"), "\r\nWARC-Payload-Digest: sha256:", F.col("digest"), "\r\n")),
+        F.when(F.col("type") == "warcinfo", "").otherwise(_crlf("WARC-Target-URI: ", F.when(F.col("url") == "", "about:blank").otherwise(F.col("url")), "\r\nWARC-IP-Address: ", F.coalesce("ip", F.lit("")), "\r\nWARC-Payload-Digest: sha256:", F.col("digest"), "\r\n")),
         F.when(revisit, _crlf("WARC-Refers-To: ", F.col("_first"), "\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Truncated: length\r\n")).otherwise(""),
+        F.when(F.col("defect") == "short", "WARC-Truncated: disconnect\r\n").otherwise(""),
         "WARC-Block-Digest: sha256:", F.sha2(block, 256), "\r\nContent-Type: ", media, "\r\nContent-Length: ", F.length(block).cast("string"), "\r\n\r\n",
     )
     value = F.concat(head.cast("binary"), block).cast("string").alias("value")
@@ -206,7 +264,9 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields by lower-case name, block) of every record, by declared lengths."""
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
         head = dict((k.strip().lower(), v.strip()) for k, _, v in (line.partition(":") for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]))
         start, at = end + 4, end + 4 + int(head["content-length"])
         yield head, data[start:at]
@@ -259,8 +319,10 @@ def archive(pages: DataFrame) -> DataFrame:
     convert(spark, arc, warc)
     found = read_warc(spark, warc)
     kept = written(found, "records")
+    # only revisits look for what they refer to
+    again = kept.filter("type = 'revisit'")
     first = kept.filter("type <> 'revisit'").select(F.col("record_id").alias("refers"), F.col("source").alias("refers_to"))
-    out = kept.join(first, "refers", "left")
+    out = again.join(first, "refers", "left").unionByName(kept.filter("type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long")))
     return out.select(F.col("source").alias("page_id"), "url", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 
 BUDGET, HISTORY = 1024, 192
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
@@ -113,21 +114,38 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _WINDOWS, strict=True)], schema=_WINDOWS)
 
 
-def _formatter(budget: int, history: int, vocabulary_var):
+_TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("n_tokens", pa.int64())])
+
+
+def _counter(vocabulary_var):
+    """Count tokens of rendered turns where they lie, before any shuffle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter_of(vocabulary_var.value)
+        for batch in batches:
+            n = [count(_rendered(role, text)[0]) for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], schema=_TURNS)
+
+    return run
+
+
+def _rendered(role: str, text: str) -> tuple[str, int, int]:
+    """(the marked turn, where its text begins and ends)."""
+    head, body = f"{TURN}{escape(role)}{SAYS}", escape(text)
+    return f"{head}{body}{END}", len(head), len(head) + len(body)
+
+
+def _formatter(budget: int, history: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, held, size = None, [], 0
         for batch in batches:
-            for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, role, text, n_tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if open_ is None or conv != open_.conv_id:
                     if open_ and (row := open_.last()):
                         held.append(row)
                     open_ = _Conversation(conv, budget, history)
-                head = f"{TURN}{escape(role)}{SAYS}"
-                body = escape(text)
-                rendered = f"{head}{body}{END}"
-                target = (len(head), len(head) + len(body)) if role == "assistant" else None
-                if row := open_.add(role, text, count(rendered), rendered, target):
+                rendered, start, end = _rendered(role, text)
+                if row := open_.add(role, text, n_tokens, rendered, (start, end) if role == "assistant" else None):
                     held.append(row)
                 size += len(rendered)
                 if size > YIELD and held:
@@ -147,8 +165,9 @@ def format_windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HIS
     ``loss`` holds code-point ranges of ``text``; the first ``n_repeated`` turns stand in
     earlier windows too. ``vocabulary``: the path, readable by the driver, of byte-pair
     ranks; without it words and punctuation marks are counted. A turn above the budget
-    has a window of its own (with the system turn). Rows of one conversation come out
-    together, in order.
+    has a window of its own (with the system turn). Tokens are counted before the shuffle;
+    the windows of one conversation depend on each other, so one task streams its turns,
+    with one window in memory.
 
     Defined cases: null roles and texts read as empty; turns go by ``turn`` (null
     first), ties by role and text, repeated rows stay; null conv_ids are one
@@ -160,8 +179,9 @@ def format_windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HIS
             raw = f.read()
     sent = turns.sparkSession.sparkContext.broadcast(raw)
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(_formatter(budget, history, sent), WINDOWS)
+    counted = rows.mapInArrow(_counter(sent), "conv_id long, turn long, role string, text string, n_tokens long")
+    ordered = counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.select("conv_id", "role", "text", "n_tokens").mapInArrow(_formatter(budget, history), WINDOWS)
 
 
 def parse_window(text: str) -> list[tuple[str, str]]:
@@ -204,10 +224,14 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
-    """Per conversation, read back from ``format_windows``: counts and digests."""
-    return windows.mapInArrow(_reader, READ)
+    """Per conversation, read back from ``format_windows``: counts and digests.
+
+    Windows may come in any order and from any file: they are put in order first.
+    """
+    return windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(_reader, READ)
 
 
+# A public vocabulary of byte pairs; where the driver doesn't have it words are counted.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -215,4 +239,5 @@ def op1_chat_formatting(spark, sf_dir: str, vocabulary: str | None = VOCABULARY)
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return read_windows(format_windows(turns.unionByName(more), vocabulary=vocabulary))
+    known = vocabulary if vocabulary and os.path.exists(vocabulary) else None
+    return read_windows(written(format_windows(turns.unionByName(more), vocabulary=known), "windows"))

@@ -2,9 +2,11 @@
 
 Two views of a document: its content (byte frequencies and hashed words) and its page
 metadata (source, language, length, line layout). A logistic classifier learns each;
-over rounds each hands its most confident pseudo-labels to the other. Both are then
-calibrated on held-out labels and combined. Learning needs a bounded sample of rows;
-the two linear models score every document in one pass.
+over rounds each hands confident pseudo-labels to the other. A round reads all documents:
+both views score every one, and of those that a view is sure of, the first of each class
+in a seeded hash order go to the other view, a fixed number a round. So the pool is the
+whole corpus, and what a round brings to the driver is bounded by parameters alone. Both
+views are then calibrated on held-out labels and combined, and one more pass scores all.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytewise as B
-from .shared import table
+from .shared import small_batches, table, written
 
 WORDS = 1024  # slots of hashed words
 CONTENT = 256 + WORDS + 1
@@ -90,70 +93,99 @@ def _p(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def cotrain(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], *, rounds: int = 5, each: float = 0.04, sure: float = 0.9) -> dict:
-    """Weights of both views and of their combination. y: soft labels 0 to 1.
+def _sure(weights_var, sure: float, each: int, seed: int):
+    """Of the documents that a view is sure of, the ``each`` first of a class in hash order.
 
-    A fifth of the labelled rows calibrates. In each round a view labels the pool and
-    gives the other its surest rows: ``each`` of the pool at most, in the labels'
-    proportion of classes, and only where it is at least ``sure``.
+    Rows (text, lang, source, key) -> (view, label, order, content, meta); a task holds
+    its first ones only.
     """
-    held = np.arange(len(y)) % 5 == 4
-    fit = ~held
-    extra: list[dict[int, float]] = [{}, {}]
-    weights = [None, None]
-    rate = float(np.clip(y[fit].mean(), 0.02, 0.98))
-    for turn in range(rounds + 1):
-        for v in (0, 1):
-            more = np.array(sorted(extra[v]), np.int64)
-            x = np.vstack([views[v][fit], pool[v][more]]) if len(more) else views[v][fit]
-            target = np.concatenate([y[fit], [extra[v][i] for i in more.tolist()]])
-            n = np.concatenate([np.ones(fit.sum()), np.full(len(more), 0.5)])
-            weights[v] = logistic(x.astype(np.float64), target, n)
-        if turn == rounds or not len(pool[0]):
-            break
-        for v in (0, 1):
-            p = _p(pool[v] @ weights[v])
-            most = max(1, int(each * len(p)))
-            for label, score, quota in ((1.0, p, max(1, int(most * rate))), (0.0, 1 - p, max(1, int(most * (1 - rate))))):
-                best = np.argsort(-score, kind="stable")[: quota * (turn + 1)]
-                for i in best[score[best] >= sure].tolist():
-                    extra[1 - v].setdefault(i, label)
-    z = np.stack([views[0][held] @ weights[0], views[1][held] @ weights[1]], 1)
-    calibration = []
-    for v in (0, 1):  # Platt scaling of each view, then of their mean evidence
-        calibration.append(logistic(np.stack([z[:, v], np.ones(len(z))], 1), y[held], np.ones(len(z)), 0.01) if held.any() else np.array([1.0, 0.0]))
-    c = np.stack([z[:, v] * calibration[v][0] + calibration[v][1] for v in (0, 1)] + [np.ones(len(z))], 1)
-    both = logistic(c, y[held], np.ones(len(c)), 0.01) if held.any() else np.array([0.5, 0.5, 0.0])
-    return {"weights": [w.astype(np.float32) for w in weights], "calibration": calibration, "both": both}
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 4000, unlabelled: int = 4000, **options) -> dict:
-    """Learn from at most about ``labelled`` labelled rows and ``unlabelled`` others.
-
-    Rows are sampled by a hash of ``doc_id``. Several labels of one document are averaged.
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = weights_var.value
+        held: dict[tuple[int, int], list] = {(v, y): [] for v in (0, 1) for y in (0, 1)}
+        for batch in batches:
+            key = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
+            order = (B.mix(key ^ np.uint64(seed)) >> np.uint64(1)).astype(np.int64)
+            for a, b, *views in _views(batch):
+                for v in (0, 1):
+                    p = _p(views[v] @ weights[v])
+                    for y, score in ((1, p), (0, 1 - p)):
+                        some = np.flatnonzero(score >= sure)
+                        some = some[np.argsort(order[a:b][some], kind="stable")[:each]]
+                        mine = held[v, y]
+                        mine += [(int(order[a + i]), *(view[i].astype(np.float16).tobytes() for view in views)) for i in some.tolist()]
+                        mine.sort()
+                        del mine[each:]
+        for (v, y), rows in held.items():
+            if rows:
+                n, x, m = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(rows), pa.int32()), pa.array([y] * len(rows), pa.int32()), pa.array(n, pa.int64()), pa.array(x, pa.binary()), pa.array(m, pa.binary())], names=["view", "label", "place", "content", "meta"])
+
+    return run
+
+
+def _read(rows: list, column: str, n: int) -> np.ndarray:
+    return np.array([np.frombuffer(r[column], np.float16) for r in rows], np.float32).reshape(len(rows), n)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 4000, rounds: int = 5, each_round: int = 160, sure: float = 0.9) -> dict:
+    """Learn from at most ``labelled`` labelled rows and from pseudo-labels over all others.
+
+    Labelled rows are the first in a hash order of ``doc_id``; several labels of one
+    document are averaged. A fifth of them calibrates. In each of ``rounds`` a view gives
+    the other ``each_round`` documents at most, in the labels' proportion of classes, of
+    those that it is at least ``sure`` of.
     """
-    scale = 1 << 30
-    slot = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(scale))
-    good = labels.filter("quality is not null and doc_id is not null")
-    cut = min(scale, int(scale * labelled / max(1, good.count())) + 1)
-    some = good.filter(slot("doc_id", 1) < cut).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label")).limit(2 * labelled)
-    cut = min(scale, int(scale * unlabelled / max(1, docs.count())) + 1)
+    spark, salted = docs.sparkSession, lambda salt: F.xxhash64("doc_id", F.lit(salt))
+    good = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
+    some = written(good.orderBy(salted(1), "doc_id").limit(labelled), "labelled")
     columns = ["text", "lang", "source", "label"]
-    schema = "label double, content binary, meta binary"
-    known = docs.join(F.broadcast(some), "doc_id").select(*columns).mapInArrow(_features, schema).collect()  # 2 * labelled rows at most
-    others = docs.filter(slot("doc_id", 2) < cut).join(F.broadcast(some), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("double")).select(*columns).limit(2 * unlabelled)
-    pool = others.mapInArrow(_features, schema).collect()
+    with small_batches(spark):
+        seen = docs.join(F.broadcast(some), "doc_id").select(*columns).mapInArrow(_features, "label double, content binary, meta binary")
+        known = seen.orderBy("content", "meta", "label").limit(2 * labelled).collect()
+    none = {"weights": [np.zeros(CONTENT, np.float32), np.zeros(META, np.float32)], "calibration": [np.array([1.0, 0.0])] * 2, "both": np.array([0.5, 0.5, 0.0])}
     if not known:
-        return {"weights": [np.zeros(CONTENT, np.float32), np.zeros(META, np.float32)], "calibration": [np.array([1.0, 0.0])] * 2, "both": np.array([0.5, 0.5, 0.0])}
-    known.sort(key=lambda r: (r["content"], r["meta"], r["label"]))
-    pool.sort(key=lambda r: (r["content"], r["meta"]))
+        return none
     order = np.random.default_rng(5).permutation(len(known))
     known = [known[i] for i in order]
-    read = lambda rows, c, n: np.array([np.frombuffer(r[c], np.float16) for r in rows], np.float32).reshape(len(rows), n)
-    return cotrain([read(known, "content", CONTENT), read(known, "meta", META)], np.array([r["label"] for r in known]), [read(pool, "content", CONTENT), read(pool, "meta", META)], **options)
-
-
-def _scorer(model_var, n_keep: int):
+    views, y = [_read(known, "content", CONTENT), _read(known, "meta", META)], np.array([r["label"] for r in known])
+    held = np.arange(len(y)) % 5 == 4
+    train, rate = ~held, float(np.clip(y[~held].mean(), 0.02, 0.98))
+    quota = {1: max(1, round(each_round * rate)), 0: max(1, round(each_round * (1 - rate)))}
+    # what each view has been given: features of both views are kept, the other's are used
+    given: list[list[tuple[np.ndarray, float]]] = [[], []]
+    weights: list[np.ndarray] = [np.zeros(CONTENT), np.zeros(META)]
+    others = docs.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select("text", "lang", "source", F.coalesce(F.xxhash64("doc_id", "text"), F.lit(0)).alias("key"))
+    for turn in range(rounds + 1):
+        for v in (0, 1):
+            more = given[v]
+            x = np.vstack([views[v][train], *(m[0][None] for m in more)])
+            target = np.concatenate([y[train], [m[1] for m in more]])
+            weights[v] = logistic(x.astype(np.float64), target, np.concatenate([np.ones(train.sum()), np.full(len(more), 0.5)]))
+        if turn == rounds:
+            break
+        sent = spark.sparkContext.broadcast([w.astype(np.float32) for w in weights])
+        with small_batches(spark):
+            found = others.mapInArrow(_sure(sent, sure, max(quota.values()), 101 + turn), "view int, label int, place long, content binary, meta binary")
+            first = F.row_number().over(Window.partitionBy("view", "label").orderBy("place", "content", "meta"))
+            rows = found.withColumn("_rank", first).filter(F.col("_rank") <= F.when(F.col("label") == 1, quota[1]).otherwise(quota[0])).collect()
+        for r in sorted(rows, key=lambda r: (r["view"], r["label"], r["_rank"])):
+            other = 1 - r["view"]
+            given[other].append((np.frombuffer(r[("content", "meta")[other]], np.float16).astype(np.float32), float(r["label"])))
+    return {"weights": [w.astype(np.float32) for w in weights]} | _combined([views[v][held] @ weights[v] for v in (0, 1)], y[held])
+
+
+def _combined(z: list[np.ndarray], y: np.ndarray) -> dict:
+    """Platt scaling of each view, then of their evidence together."""
+    if not len(y):
+        return {"calibration": [np.array([1.0, 0.0])] * 2, "both": np.array([0.5, 0.5, 0.0])}
+    one = np.ones(len(y))
+    calibration = [logistic(np.stack([x, one], 1), y, one, 0.01) for x in z]
+    c = np.stack([x * k[0] + k[1] for x, k in zip(z, calibration, strict=True)] + [one], 1)
+    return {"calibration": calibration, "both": logistic(c, y, one, 0.01)}
+
+
+def _scorer(model_var):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_var.value
         (wx, wm), cal, both = model["weights"], model["calibration"], model["both"]
@@ -177,14 +209,15 @@ def score_quality(docs: DataFrame, model: dict, *, columns: list[str] | None = N
     Defined cases: a null text is scored as an empty one, null languages and sources
     as a value of their own; every row is scored by itself; without labels every score
     is 0.5 and every row is kept; an empty table gives an empty table; columns with the
-    names of the added ones are replaced.
+    names of the added ones are replaced, others may have any name.
     """
     own = ("p_content", "p_meta", "score", "kept")
     keep = [c for c in (columns or docs.columns) if c not in own]
-    rows = docs.select(F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), *keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[3:]] + ["p_content double, p_meta double, score double"])
+    rows = docs.select("text", "lang", "source", F.struct(*keep).alias("row"))
+    schema = T.StructType([rows.schema["row"], *[T.StructField(c, T.DoubleType()) for c in own[:3]]])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_scorer(sent, len(keep)), schema).withColumn("kept", F.col("score") >= threshold)
+    out = rows.mapInArrow(_scorer(sent), schema)
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], *own[:3], (F.col("score") >= threshold).alias("kept"))
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

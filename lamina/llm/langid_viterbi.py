@@ -1,7 +1,7 @@
 """Language identification with Viterbi spans (operator 6).
 
-A word's script, read from its lead bytes, narrows the candidate languages to those
-that were learned in it. Every word gets a score per language from its byte trigrams
+A word is a run of letters and marks. Its script, read from the ranges of its code points,
+narrows the candidate languages to those that were learned in it. Every word gets a score per language from its byte trigrams
 and itself; Viterbi with a switching penalty then labels spans of mixed texts. All
 texts of an Arrow batch advance word by word together, so a step is one NumPy call.
 """
@@ -12,20 +12,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytewise as B
 from .shared import table
 
 SLOTS = 1 << 16
 PENALTY = 8.0
-# Scripts by the lead byte of a character in UTF-8; other bytes are Latin or tell nothing.
-LEAD = {1: (0xCE, 0xCF), 2: (0xD0, 0xD4), 3: (0xD5, 0xD5), 4: (0xD6, 0xD7), 5: (0xD8, 0xDB), 6: (0xE0, 0xE1), 7: (0xE3, 0xE9), 8: (0xEA, 0xED), 9: (0xF0, 0xF4)}
-SCRIPT = np.zeros(256, np.int8)
-for _k, (_a, _b) in LEAD.items():
-    SCRIPT[_a : _b + 1] = _k
-SCRIPTS = 10
+# Ranges of code points of scripts (first, last, number); all others are Latin or tell nothing.
+RANGES = (
+    (0x370, 0x3FF, 1), (0x1F00, 0x1FFF, 1), (0x400, 0x52F, 2), (0x1C80, 0x1C8F, 2), (0x2DE0, 0x2DFF, 2), (0x530, 0x58F, 3), (0x590, 0x5FF, 4), (0x600, 0x6FF, 5), (0x750, 0x77F, 5), (0x8A0, 0x8FF, 5),
+    (0xFB50, 0xFDFF, 5), (0xFE70, 0xFEFF, 5), (0x900, 0x97F, 6), (0x980, 0x9FF, 7), (0xA00, 0xA7F, 8), (0xA80, 0xAFF, 9), (0xB00, 0xB7F, 10), (0xB80, 0xBFF, 11), (0xC00, 0xC7F, 12), (0xC80, 0xCFF, 13),
+    (0xD00, 0xD7F, 14), (0xD80, 0xDFF, 15), (0xE00, 0xE7F, 16), (0xE80, 0xEFF, 17), (0xF00, 0xFFF, 18), (0x1000, 0x109F, 19), (0x10A0, 0x10FF, 20), (0x1100, 0x11FF, 21), (0x3130, 0x318F, 21), (0xAC00, 0xD7AF, 21),
+    (0x1200, 0x137F, 22), (0x1780, 0x17FF, 23), (0x3040, 0x30FF, 24), (0x31F0, 0x31FF, 24), (0xFF66, 0xFF9F, 24), (0x2E80, 0x2FDF, 25), (0x3400, 0x4DBF, 25), (0x4E00, 0x9FFF, 25), (0xF900, 0xFAFF, 25), (0x20000, 0x2FA1F, 25),
+)
+SCRIPTS = 26
+_ranges = np.array(sorted(RANGES), np.int64)
+
+
+def scripts_of(data: np.ndarray) -> np.ndarray:
+    """The script of the character that begins at each byte; 0 inside one, and for Latin."""
+    out = np.zeros(len(data), np.int8)
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return out
+    x = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    b0, b1, b2, b3 = (x[lead + k] for k in range(4))
+    two, three = ((b0 & 0x1F) << 6) | (b1 & 0x3F), ((b0 & 0xF) << 12) | ((b1 & 0x3F) << 6) | (b2 & 0x3F)
+    point = np.where(b0 < 0xE0, two, np.where(b0 < 0xF0, three, ((b0 & 7) << 18) | ((b1 & 0x3F) << 12) | ((b2 & 0x3F) << 6) | (b3 & 0x3F)))
+    k = np.searchsorted(_ranges[:, 0], point, side="right") - 1
+    out[lead] = np.where((k >= 0) & (point <= _ranges[k, 1]), _ranges[k, 2], 0)
+    return out
+
+
+#: Everything but letters and their marks. Each such character becomes one space, so places stay.
+NO_LETTER = r"[^\p{L}\p{M}]"
 GROUP = 4 << 20  # bytes of text that Viterbi labels together
 _SPANS = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 SPAN = "struct<lang:string,start:int,end:int>"
@@ -47,8 +70,9 @@ def _features(data: np.ndarray, offs: np.ndarray):
     tri = ((before * np.uint32(0x01000193) ^ byte) * np.uint32(0x85EBCA6B) ^ after) * np.uint32(0xC2B2AE35)
     word = B.span_hash(low, start, end)
     bounds = np.stack([start, np.minimum(end, len(byte) - 1)], 1).ravel()
-    script = np.maximum.reduceat(SCRIPT[data], bounds[:-1] if bounds[-1] >= len(byte) else bounds)[::2]
-    script = np.where(end - start == 1, SCRIPT[data[start]], script)
+    of = scripts_of(data)
+    script = np.maximum.reduceat(of, bounds[:-1] if bounds[-1] >= len(byte) else bounds)[::2]
+    script = np.where(end - start == 1, of[start], script)
     return start, end, row, script.astype(np.int8), (tri >> np.uint32(16)).astype(np.int64), (word >> np.uint64(48)).astype(np.int64)
 
 
@@ -77,6 +101,10 @@ def _counter(langs: list[str]):
     return run
 
 
+def letters(text: Column) -> Column:
+    return F.regexp_replace(text, NO_LETTER, " ")
+
+
 def fit(labelled: DataFrame, *, per_lang: int = 1500, max_langs: int = 500) -> dict:
     """Learn from (doc_id, text, lang) on a sample of about ``per_lang`` rows a language.
 
@@ -93,7 +121,7 @@ def fit(labelled: DataFrame, *, per_lang: int = 1500, max_langs: int = 500) -> d
     scale = 1 << 30
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(scale, int(scale * per_lang / r["count"]) + 1))])
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.element_at(share, F.col("lang")))
-    counted = sample.select("text", "lang").mapInArrow(_counter(langs), "kind int, lang int, slot int, n long")
+    counted = sample.select(letters(F.col("text")).alias("text"), "lang").mapInArrow(_counter(langs), "kind int, lang int, slot int, n long")
     counts = [np.zeros((len(langs), SLOTS)), np.zeros((len(langs), SLOTS)), np.zeros((len(langs), SCRIPTS))]
     for kind, k, slot, n in counted.groupBy("kind", "lang", "slot").agg(F.sum("n")).collect():  # languages x slots at most
         counts[kind][k, slot] = n
@@ -208,17 +236,16 @@ def identify(docs: DataFrame, model: dict, *, penalty: float = PENALTY, columns:
     Defined cases: ``und``, score 0 and no spans if the text is null or has no letter,
     or if the model learned nothing; ties go to the language that sorts first; every
     row is labelled by itself; an empty table gives an empty table; columns with the
-    names of the added ones are replaced.
+    names of the added ones are replaced, others may have any name.
     """
     keep = [c for c in (columns or docs.columns) if c not in ("text", "lang_pred", "score", "spans")]
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*keep, F.when(has_letter, F.col("text")).alias("text"))
+    rows = docs.select(F.struct(*keep).alias("row"), F.when(has_letter, letters(F.col("text"))).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    schema = ", ".join(x for x in (schema, "_lang string, _score double", f"_spans array<{SPAN}>" if spans else "") if x)
-    out = rows.mapInArrow(_labeller(sent, penalty, rows.columns, spans), schema)
-    added = [F.coalesce("_lang", F.lit("und")).alias("lang_pred"), F.col("_score").alias("score")]
-    return out.select(*keep, *added, *([F.col("_spans").alias("spans")] if spans else []))
+    added = [T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), *([T.StructField("_spans", T._parse_datatype_string(f"array<{SPAN}>"))] if spans else [])]
+    out = rows.mapInArrow(_labeller(sent, penalty, rows.columns, spans), T.StructType([rows.schema["row"], *added]))
+    new = [F.coalesce("_lang", F.lit("und")).alias("lang_pred"), F.col("_score").alias("score")]
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], *new, *([F.col("_spans").alias("spans")] if spans else []))
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ class Rule(NamedTuple):
     whole: str | None  # None: a plain count
     scale: int = 1
     from_words: int = 0  # texts with fewer words are not judged
+    needs: str | None = None  # a flag without which the rule says nothing
 
 
 # The base rules of the contract.
@@ -38,9 +39,10 @@ RULES = (
     Rule("long_words", "word_chars", "above", 20, "n_words"),
     Rule("symbols", "n_symbols", "above", 30, "n_words", 100),
     Rule("repeated_lines", "n_dup_lines", "above", 50, "n_text_lines", 100),
-    Rule("no_stop_words", "n_stop_words", "below", 1, "n_words", 100, 50),
+    Rule("no_stop_words", "n_stop_words", "below", 1, "n_words", 100, 50, "has_stop_list"),
 )
-# Common function words of English, German, French and Spanish.
+# Common function words of these languages.
+STOP_LANGUAGES = ("de", "en", "es", "fr")
 STOP_WORDS = (
     "a an and are as at be by for from has have he in is it its of on or that the this to was were which will with "
     "aber als am auch auf aus bei das dem den der des die ein eine einen einer er es für ich im ist mit nach nicht sich sie sind und von war wie zu zum zur "
@@ -79,7 +81,8 @@ def fails(rule: Rule) -> Column:
     part = F.col(rule.part) * rule.scale
     bound = F.lit(rule.bound).cast("long") * (F.col(rule.whole) if rule.whole else F.lit(1))
     out = part > bound if rule.relation == "above" else part < bound
-    return out & (F.col("n_words") >= rule.from_words) if rule.from_words else out
+    out = out & (F.col("n_words") >= rule.from_words) if rule.from_words else out
+    return out & F.col(rule.needs) if rule.needs else out
 
 
 def compiled(rules: tuple[Rule, ...]) -> Column:
@@ -93,21 +96,25 @@ def compiled(rules: tuple[Rule, ...]) -> Column:
 OWN = ["n_words", "word_chars", "n_symbols", "n_text_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept"]
 
 
-def judge(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, stop_words=STOP_WORDS) -> DataFrame:
+def judge(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, stop_words=STOP_WORDS, stop_languages=STOP_LANGUAGES) -> DataFrame:
     """Add the counts and ``base_failed`` and ``kept`` to every row.
 
     Words are runs of characters outside ``[\\x20\\x09-\\x0D]``. ``kept`` is false
-    if ``base_failed``, or if a rule of the table fails.
+    if ``base_failed``, or if a rule of the table fails. Stop words are asked for only
+    where ``lang`` is one of ``stop_languages``.
 
     Defined cases: a null or empty text has no words, so it fails; every row is
-    judged by itself, so repeated rows and null or repeated ids change nothing; an
-    empty table gives an empty table; columns of ``docs`` with the names of the
-    added ones are replaced.
+    judged by itself, so repeated rows and null or repeated ids change nothing; without a
+    column ``lang``, or where it is null, no stop words are asked for; an empty table gives
+    an empty table; columns of ``docs`` with the names of the added ones are replaced,
+    others may have any name.
     """
-    text = F.coalesce("text", F.lit(""))
-    rest = docs.drop(*OWN, "_words", "_keys", "_ordered")
-    kept = rest.columns
-    out = rest.withColumn("_words", F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    kept = [c for c in docs.columns if c not in OWN]
+    has_list = F.coalesce(F.col("lang").isin(*stop_languages), F.lit(False)) if "lang" in docs.columns else F.lit(False)
+    # the user's columns travel as one, so no name of theirs can clash
+    out = docs.select(F.struct(*kept).alias("row") if kept else F.struct(F.lit(0)).alias("row"), F.coalesce("text", F.lit("")).alias("text"), has_list.alias("has_stop_list"))
+    text = F.col("text")
+    out = out.withColumn("_words", F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
     w = F.col("_words")
     key = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])
     some = F.size(w) >= WINDOW
@@ -119,28 +126,29 @@ def judge(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, base: tuple[Rule,
         "n_repeat_words": _count(F.when(F.col("_ordered").isNull(), 0).otherwise(covered)),
         "n_stop_words": _count(F.size(F.filter(w, lambda x: ascii_lower(x).isin(*stop_words)))),
     }
-    out = out.select(*kept, *[c.alias(k) for k, c in counts.items()])
+    out = out.select("row", "has_stop_list", *[c.alias(k) for k, c in counts.items()])
     out = out.withColumn("base_failed", compiled(base))
-    return out.withColumn("kept", ~F.col("base_failed") & ~compiled(rules)).select(*kept, *OWN)
+    return out.withColumn("kept", ~F.col("base_failed") & ~compiled(rules)).select(*[F.col("row")[c].alias(c) for c in kept], *OWN)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever their names."""
-    judged = judge(docs.select(F.struct(*docs.columns).alias("_row"), "text"), **options)
+    judged = judge(docs.select(F.struct(*docs.columns).alias("_row"), "text", *(["lang"] if "lang" in docs.columns else [])), **options)
     # a filter right above the projection would be pushed into it, where its expressions multiply
     once = judged.select(F.inline(F.array(F.struct("_row", "kept"))))
     return once.filter("kept").select("_row.*")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+_LANGUAGES = ", ".join(f"'{x}'" for x in STOP_LANGUAGES)
 OP10_SQL = rf"""
 WITH doc AS (
-  SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang IN ({_LANGUAGES}), false) AS has_stop_list FROM documents),
 word AS (
   SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (
     SELECT doc_id, unnest(parts) AS word, generate_subscripts(parts, 1) AS i
@@ -163,7 +171,7 @@ by_line AS (
   SELECT doc_id, count(*) AS n_text_lines, count(*) - count(DISTINCT line) AS n_dup_lines
   FROM line WHERE trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) <> '' GROUP BY doc_id),
 counted AS (
-  SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+  SELECT d.doc_id, has_stop_list, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
          (length(d.text) - length(translate(d.text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
          coalesce(n_text_lines, 0)::BIGINT AS n_text_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_stop_words, 0)::BIGINT AS n_stop_words
@@ -172,6 +180,6 @@ based AS (
   SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM counted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_symbols > 30 * n_words
-         OR 100 * n_dup_lines > 50 * n_text_lines OR (n_words >= 50 AND 100 * n_stop_words < n_words)) AS kept
+         OR 100 * n_dup_lines > 50 * n_text_lines OR (has_stop_list AND n_words >= 50 AND 100 * n_stop_words < n_words)) AS kept
 FROM based
 """

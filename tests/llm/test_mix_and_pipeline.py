@@ -44,7 +44,7 @@ def test_budgets_go_to_siblings_before_ancestors():
 
 def brute_mix(spark, docs, budget_share, max_epochs, seed=17):
     """[(doc_id, epoch)] with plain sorting of each leaf."""
-    keyed = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(M.domain_of(F.col("source")), F.lit("")).alias("domain"), *[F.xxhash64(F.lit(seed), F.lit(e).cast("long"), F.col("doc_id")).alias(f"k{e}") for e in range(max_epochs + 1)])
+    keyed = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(M.domain_of(F.col("source")), F.lit("")).alias("domain"), *[F.xxhash64(F.lit(seed), F.lit(e).cast("long"), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).alias(f"k{e}") for e in range(max_epochs + 1)])
     leaves = {}
     for r in keyed.collect():
         n = len(brute.split_words(r["text"]))
