@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import budget_mix, line_bloom, parity_join, quality_rules, suffix_decon
-from lamina.llm.shared import table, written
+from lamina.llm.shared import release, scratch, table, written
 
 
 CORE = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,26 +36,41 @@ def with_any_columns(stage):
 
 @with_any_columns
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: documents that they reject go."""
+    """Quality rules: documents that they reject go.
+
+    Null and empty texts are rejected; repeated rows are judged alike; an empty table
+    stays empty. Columns of any name stay, as in every stage.
+    """
     return quality_rules.keep_good(docs)
 
 
 @with_any_columns
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: repeated lines stay in the first document only; n_chars follows."""
+    """Line dedup: repeated lines stay in the first document only; n_chars follows.
+
+    No row goes: a text may become empty, a null text stays null and its n_chars null.
+    Rows without ``doc_id`` come after all others; an empty table stays empty.
+    """
     out = line_bloom.dedup_lines(docs)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 @with_any_columns
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join, five words and 0.8: one document of each group stays."""
+    """N-gram Jaccard join, five words and 0.8: one document of each group stays.
+
+    It is the one with the smallest ``doc_id``; of rows that share an id the first by text
+    stays. Rows without words, or without an id and a linked document that has one, stay.
+    """
     return parity_join.one_of_each(docs, k=5, num=80, den=100).select(*docs.columns)
 
 
 @with_any_columns
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents with enough benchmark passages go."""
+    """Benchmark decontamination: documents with enough benchmark passages go.
+
+    Texts without words stay, repeated rows fare alike, an empty benchmark removes nothing.
+    """
     return suffix_decon.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -80,9 +95,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, name)
-    return docs
+    """The rows that the last stage returns; each stage's table goes when the next is written."""
+    docs = before = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as keep:
+            docs = keep(written(stage(spark, before, sf_dir), name))
+        if i:
+            release(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
