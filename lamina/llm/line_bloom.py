@@ -10,9 +10,8 @@ The second filter is broadcast while it has at most ``max_bits``. Beyond that no
 travels: the shards name the hashes that they met again, and hashes (never texts) are
 joined with those, which says whose lines are suspects.
 
-Texts don't move where the confirmed keys are few enough to broadcast: each line is looked
-up where it lies. Beyond that a Bloom filter of the documents that lose lines splits the
-table, and only these are joined with what they lose.
+Texts without a dropped line stay where they are: a Bloom filter of the documents that
+lose lines splits the table, and only the others are joined with what they lose.
 """
 
 from __future__ import annotations
@@ -21,18 +20,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytewise as B
-from .shared import LAST_ID, UPPER, WS, partitions, scratch, small_batches, written
+from .shared import LAST_ID, partitions, scratch, small_batches, written
 
 SHARD = 1 << 19  # bits
 SALT = np.uint64(0xA0761D6478BD642F)
-LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
 def _keys(data: np.ndarray, offs: np.ndarray, least: int):
@@ -173,88 +171,58 @@ class _Holders:
     def may_hold(self, owner: Column, part: Column) -> Column:
         bits, shards = self.bits, self.shards
 
-        @F.pandas_udf(T.BooleanType())
-        def test(key: pd.Series) -> pd.Series:
-            h = B.mix(key.to_numpy(np.int64).view(np.uint64))
-            return pd.Series(_has(np.frombuffer(bits.value, np.uint8), _places(h), _shard(h, shards) * SHARD))
+        @F.arrow_udf(T.BooleanType())
+        def test(key: pa.Array) -> pa.Array:
+            h = B.mix(key.to_numpy(zero_copy_only=False).view(np.uint64))
+            return pa.array(_has(np.frombuffer(bits.value, np.uint8), _places(h), _shard(h, shards) * SHARD))
 
         return test(F.xxhash64(owner, part))
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_dropped", T.LongType())]))
-def _without(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-    """Each text without the lines whose key is in ``gone``, by a set."""
-    out, dropped = [], []
-    for t, keys in zip(text, gone, strict=True):
-        if keys is None or t is None:
-            out.append(t)
-            dropped.append(0)
-            continue
-        drop, lines = set(keys), t.split("\n")
-        stay = [x for x in lines if x.strip(WS).translate(LOWER) not in drop]
-        out.append("\n".join(stay))
-        dropped.append(len(lines) - len(stay))
-    return pd.DataFrame({"text": pd.Series(out, dtype=object), "n_dropped": pd.Series(dropped, dtype="int64")})
-
-
-def _table(repeated: DataFrame) -> dict:
-    """The confirmed keys on the driver, in order of their hash."""
-    rows = repeated.select("key", "first").toArrow()
-    data, offs = B.column(rows.column("key"))
-    h = B.span_hash(data, offs[:-1], offs[1:])
+_CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_dropped", T.LongType())])
+
+
+@F.arrow_udf(_CUT)
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """Each text without the lines whose key is in ``gone``: keys meet by a hash of row and
+    key, and are compared by their bytes. The text is null where all lines stay."""
+    out, counts = [], [np.zeros(0, np.int64)]
+    at_gone = np.concatenate([[0], np.cumsum(np.array(pa.compute.fill_null(pa.compute.list_value_length(gone), 0), np.int64))])
+    keys, ends = B.column(gone.flatten())
+    owner = np.searchsorted(at_gone, np.arange(len(ends) - 1), side="right") - 1
+    h = B.mix(B.span_hash(keys, ends[:-1], ends[1:]) ^ B.mix(owner.astype(np.uint64)))
     by = np.argsort(h, kind="stable")
-    return {"h": h[by], "start": offs[:-1][by], "size": np.diff(offs)[by], "first": rows.column("first").to_numpy()[by], "data": data, "ties": int((np.bincount(np.unique(h, return_inverse=True)[1])).max(initial=1))}
-
-
-_CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-
-
-def _cutter(table_of, least: int):
-    """(owner, text) -> the text without lines that belong to an earlier document (null if it keeps
-    all), and counts. Keys are looked up by hash and compared by their bytes."""
-
-    @F.arrow_udf(_CUT)
-    def cut(owner: pa.Array, text: pa.Array) -> pa.Array:
-        known, out, n_lines, n_dropped = table_of.value, [], [], []
-        owners = owner.to_numpy(zero_copy_only=False)
-        for a, b, data, offs in B.chunks(text):
-            low = B.LOWER[data]
-            start, end, row = B.lines(data, offs)
-            s, e = B.stripped(data, start, end)
-            points = B.code_points(data)
-            drop = np.zeros(len(start), bool)
-            at = np.flatnonzero(points[e] - points[s] >= least)
-            if len(known["h"]) and len(at):
-                h = B.span_hash(low, s[at], e[at])
-                k = np.searchsorted(known["h"], h)
-                for step in range(known["ties"]):  # keys of one hash lie side by side
-                    j = np.minimum(k + step, len(known["h"]) - 1)
-                    hit = np.flatnonzero((known["h"][j] == h) & (known["size"][j] == (e - s)[at]) & (known["first"][j] != owners[a + row[at]]))
-                    hit = hit[B.same_spans(low, s[at[hit]], known["data"], known["start"][j[hit]], known["size"][j[hit]])]
-                    drop[at[hit]] = True
-            lines, gone = np.bincount(row, minlength=b - a), np.bincount(row[drop], minlength=b - a)
-            n_lines.append(lines)
-            n_dropped.append(gone)
-            raw, first = data.tobytes(), np.cumsum(lines) - lines
-            texts = [None] * (b - a)
-            for i in np.flatnonzero(gone).tolist():
-                stay = first[i] + np.flatnonzero(~drop[first[i] : first[i] + lines[i]])
-                texts[i] = b"\n".join(raw[x:y] for x, y in zip(start[stay].tolist(), end[stay].tolist(), strict=True)).decode()
-            out += texts
-        counts = [np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64) for c in (n_lines, n_dropped)]
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(counts[0]), pa.array(counts[1])], names=["text", "n_lines", "n_dropped"])
-
-    return cut
-
-
-def dedup_lines(docs: DataFrame, *, least: int = 10, bits: int | None = None, lines_per_doc: int = 16, bits_per_line: int = 16, max_bits: int = 1 << 30, max_keys: int = 1 << 20, max_key_bytes: int = 1 << 25) -> DataFrame:
+    h, begin, size, owner = h[by], ends[:-1][by], np.diff(ends)[by], owner[by]
+    ties = int(np.unique(h, return_counts=True)[1].max(initial=1))
+    for a, b, data, offs in B.chunks(text):
+        low = B.LOWER[data]
+        start, end, row = B.lines(data, offs)
+        s, e = B.stripped(data, start, end)
+        drop = np.zeros(len(start), bool)
+        if len(h):
+            mine = B.mix(B.span_hash(low, s, e) ^ B.mix((row + a).astype(np.uint64)))
+            k = np.searchsorted(h, mine)
+            for step in range(ties):  # hashes that are equal lie side by side
+                j = np.minimum(k + step, len(h) - 1)
+                hit = np.flatnonzero((h[j] == mine) & (size[j] == e - s) & (owner[j] == row + a))
+                drop[hit[B.same_spans(low, s[hit], keys, begin[j[hit]], size[j[hit]])]] = True
+        lines, lost = np.bincount(row, minlength=b - a), np.bincount(row[drop], minlength=b - a)
+        counts.append(lost)
+        raw, first, texts = data.tobytes(), np.cumsum(lines) - lines, [None] * (b - a)
+        for i in np.flatnonzero(lost).tolist():
+            stay = first[i] + np.flatnonzero(~drop[first[i] : first[i] + lines[i]])
+            texts[i] = b"\n".join(raw[x:y] for x, y in zip(start[stay].tolist(), end[stay].tolist(), strict=True)).decode()
+        out += texts
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(np.concatenate(counts).astype(np.int64))], names=["text", "n_dropped"])
+
+
+def dedup_lines(docs: DataFrame, *, least: int = 10, bits: int | None = None, lines_per_doc: int = 16, bits_per_line: int = 16, max_bits: int = 1 << 30) -> DataFrame:
     """Drop each repeated line except in the document with the smallest ``doc_id``.
 
     A line's key is the line without white space at both ends, A-Z lower-cased.
     Keys of at least ``least`` code points in two or more documents lose all
     lines outside the smallest ``doc_id`` that holds them. Other lines stay.
-    ``bits``: of one filter; by default from the number of rows. ``max_keys`` and
-    ``max_key_bytes``: what of confirmed keys may be broadcast.
+    ``bits``: of one filter; by default from the number of rows.
 
     Returns every column of ``docs`` with ``text`` shortened, and ``n_lines`` and
     ``n_dropped`` (columns of those names are replaced).
@@ -287,21 +255,15 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, bits: int | None = None, li
         counted = suspects.groupBy("key").agg(F.min("owner").alias("first"), F.max("owner").alias("last"))
         # read from a table, both sides of the join are dealt anew, so Spark can split a hot key
         repeated = written(counted.filter("first < last").select("key", "first"), "repeated")
-        count, size = repeated.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
-        fields = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-        if count <= max_keys and size <= max_key_bytes:
-            cut = _cutter(spark.sparkContext.broadcast(_table(repeated)), least)
-            done = keep(written(rows.select("row", cut(owner, F.col("text")).alias("new")), "done"))
-            text = F.when(F.col("new.n_dropped") > 0, F.col("new.text")).otherwise(F.col("row.text"))
-            return done.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in fields], F.col("new.n_lines").alias("n_lines"), F.col("new.n_dropped").alias("n_dropped"))
         gone = written(suspects.join(repeated, "key").filter("owner <> first").groupBy("owner", "part").agg(F.collect_set("key").alias("gone")), "gone")
         loses = _Holders(gone, gone.count(), max_bits).may_hold(owner, part)
         marked = rows.withColumn("loses", loses)
         changed = marked.filter("loses").withColumn("owner", owner).withColumn("part", part).join(gone, ["owner", "part"], "left")
         changed = keep(written(changed.select("row", _without("text", "gone").alias("new")), "changed"))
-    n_lines = lambda t: (F.length(F.coalesce(t, F.lit(""))) - F.length(F.translate(F.coalesce(t, F.lit("")), "\n", "")) + 1).cast("long").alias("n_lines")
+    fields = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    n_lines = lambda t: (F.octet_length(F.coalesce(t, F.lit(""))) - F.octet_length(F.replace(F.coalesce(t, F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")
     stay = [F.col("row")[c].alias(c) for c in fields]
-    cut = [F.col("new.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in fields]
+    cut = [F.coalesce("new.text", "row.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in fields]
     same = marked.filter("not loses").select(*stay, n_lines(F.col("text")), F.lit(0).cast("long").alias("n_dropped"))
     return same.unionByName(changed.select(*cut, n_lines(F.col("row.text")), F.col("new.n_dropped").alias("n_dropped")))
 

@@ -58,7 +58,7 @@ def test_lines_without_a_filter_and_with_one_algebra(spark, docs):
     texts = TEXTS + [(20, f"{s}\n{t}\n{s}"), (21, t), (22, s + "\nhead"), (24, "\n".join(f"line number {i} of many" for i in range(20_000))), (25, "\n".join(f"line number {i} of many" for i in range(0, 20_000, 2)))]
     frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     want = {i: (n, d, kept) for i, (n, d, kept) in brute.line_dedup(texts).items()}
-    for options in ({}, {"max_keys": 0}, {"bits": 4 * line_bloom.SHARD, "max_bits": line_bloom.SHARD}, {"bits": 4 * line_bloom.SHARD, "max_bits": line_bloom.SHARD, "max_key_bytes": 5}):
+    for options in ({}, {"bits": 4 * line_bloom.SHARD, "max_bits": line_bloom.SHARD}):
         got = rows(line_bloom.dedup_lines(frame, **options), "n_lines", "n_dropped", "text")
         assert {i: (a, b, c or "") for i, (a, b, c) in got.items()} == want
 
@@ -68,7 +68,7 @@ def test_lines_of_many_rows_without_id_and_odd_columns(spark):
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     for c in ("_owner", "owner", "part", "gone", "row", "loses", "new", "n_dropped"):
         frame = frame.withColumn(c, F.lit("mine"))
-    for options in ({"max_keys": 0}, {}):
+    for options in ({"bits": 4 * line_bloom.SHARD, "max_bits": line_bloom.SHARD}, {}):
         out = line_bloom.dedup_lines(frame, **options)
         assert sorted((r["doc_id"] or 0, r["n_dropped"], r["gone"]) for r in out.collect()) == [(0, 1, "mine")] * 40 + [(3, 0, "mine")]
     assert out.columns == ["doc_id", "text", "_owner", "owner", "part", "gone", "row", "loses", "new", "n_lines", "n_dropped"]
