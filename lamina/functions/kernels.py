@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from lamina.functions import spans as L
+
 FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
 EIGHT = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)
 
@@ -30,47 +32,26 @@ def runs(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def join_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, value: np.ndarray, slack: int = 0) -> np.ndarray:
-    """A component number (0..) for runs in raster order; runs of equal value on
-    neighbouring lines touch if they overlap, with ``slack`` 1 also at corners."""
-    n = len(y)
-    parent = np.arange(n)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    if n:
-        # candidates: for each run, the runs of the line above with the same value
-        order = np.lexsort((x0, y, value))
-        v, yy, a, b = value[order], y[order], x0[order], x1[order]
-        line = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (yy[1:] != yy[:-1])))
-        stop = np.append(line[1:], n)
-        for k in range(1, len(line)):
-            i, j = line[k], line[k - 1]
-            if v[i] != v[j] or yy[i] != yy[j] + 1:
-                continue
-            p, q = j, i
-            while p < stop[k - 1] and q < stop[k]:
-                if a[p] < b[q] + slack and a[q] < b[p] + slack:
-                    r, s = find(order[p]), find(order[q])
-                    if r != s:
-                        parent[max(r, s)] = min(r, s)
-                if b[p] < b[q]:
-                    p += 1
-                else:
-                    q += 1
-    root = np.array([find(i) for i in range(n)], np.int64)
-    return np.unique(root, return_inverse=True)[1] if n else root
+    """A component number (0..) for runs, in the order of their first run; runs of equal value
+    on neighbouring lines touch if they overlap, with ``slack`` 1 also at corners."""
+    if not len(y):
+        return np.zeros(0, np.int64)
+    y, left = np.asarray(y, np.int64), int(np.min(x0))
+    width = int(np.max(x1)) - left + L.SPARE
+    start = (y - y.min()) * width + x0 - left
+    by = np.argsort(start, kind="stable")
+    i, j = L.touching(L.Slice(start[by], (start + x1 - x0)[by], np.asarray(value)[by]), width, slack)
+    return np.unique(L.joined(len(y), by[i], by[j]), return_inverse=True)[1]
 
 
 def paint(shape: tuple[int, int], y, x0, x1, value, dtype=np.int64) -> np.ndarray:
     """The slice that runs draw; later runs win."""
-    edge = np.zeros(shape, dtype)
-    for a, b, c, v in zip(y, x0, x1, value, strict=True):
-        edge[a, b:c] = v
-    return edge
+    out = np.zeros(shape, dtype)
+    y, a, b, v = (np.asarray(c) for c in (y, x0, x1, value))
+    n = (b - a).astype(np.int64)
+    at = np.repeat(y.astype(np.int64) * shape[1] + a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    out.ravel()[at] = np.repeat(v, n)
+    return out
 
 
 def regions(mask: np.ndarray, connectivity: int = 1) -> np.ndarray:

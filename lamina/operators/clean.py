@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import kernels as K
+from lamina.functions.expressions import swap_axes
 from lamina.operators.graph import drop_duplicate_boxes
 from lamina.operators.overlap import absent_from
 from lamina.operators.regions import RUN, _crop, _frame, fill_objects, region_boxes
@@ -16,17 +17,17 @@ from lamina.operators.regions import RUN, _crop, _frame, fill_objects, region_bo
 class _Piece:
     """A region of one label with its mask in a window that holds its dilation."""
 
-    def __init__(self, image: np.ndarray, mask: np.ndarray, label: int, r: int):
-        self.label, self.area, self.image = label, int(mask.sum()), image.shape
-        self.box = K.box_of(mask)
-        y0, x0, y1, x1 = self.box
+    def __init__(self, shape: tuple[int, int], y: np.ndarray, x0: np.ndarray, x1: np.ndarray, label: int, r: int):
+        self.label, self.area = label, int((x1 - x0).sum())
+        self.box = int(y.min()), int(x0.min()), int(y.max()) + 1, int(x1.max())
         m = r + 2
-        self.window = (max(0, y0 - m), max(0, x0 - m), min(image.shape[0], y1 + m), min(image.shape[1], x1 + m))
-        a, b, c, d = self.window
-        self.mask = mask[a:c, b:d]
+        a, b = max(0, self.box[0] - m), max(0, self.box[1] - m)
+        c, d = min(shape[0], self.box[2] + m), min(shape[1], self.box[3] + m)
+        self.window = a, b, c, d
+        self.mask = K.paint((c - a, d - b), y - a, x0 - b, x1 - b, np.ones(len(y), np.int8), np.int8) > 0
         self.grown = K.dilate(self.mask, K.disk(r))
         self.near = K.dilate(self.mask, [*K.EIGHT, (0, 0)])
-        self.edge = K.outline(mask)
+        self.edge = K.outline(self.mask) + [a, b]
 
     def on(self, name: str, box) -> np.ndarray:
         """The named mask on another window; outside the own one it is empty."""
@@ -70,10 +71,13 @@ def join_entangled(image: np.ndarray, r: int = 2, min_score: float = 0.6, prune:
     another group if the score is high enough. ``prune="as_written"`` compares the rows of
     one box with the columns of the other, as the original tool does.
     """
-    pieces: list[_Piece] = []
-    for label in np.unique(image[image > 0]).tolist():
-        regions = K.regions(image == label)
-        pieces += [_Piece(image, regions == k, label, r) for k in range(1, int(regions.max()) + 1)]
+    y, x0, x1, label = K.runs(image)
+    by = np.lexsort((x0, y, label))
+    y, x0, x1, label = y[by], x0[by], x1[by], label[by]
+    number = K.join_runs(y, x0, x1, label)  # by label, then raster order
+    order = np.argsort(number, kind="stable")
+    at = np.split(order, np.flatnonzero(np.diff(number[order])) + 1) if len(order) else []
+    pieces = [_Piece(image.shape, y[k], x0[k], x1[k], int(label[k[0]]), r) for k in at]
     n = len(pieces)
     h, w = image.shape
     box = np.array([(max(0, a - r), max(0, b - r), min(h, c + r), min(w, d + r)) for a, b, c, d in (p.box for p in pieces)]).reshape(n, 4)
@@ -135,7 +139,7 @@ def missing_boxes(voxels: DataFrame, *, min_area: int = 800, connectivity: int =
     slices give nothing. What the first slice holds plays no part.
     """
     depth = voxels.groupBy("volume").agg((F.max("z") - 3).alias("_last"))
-    whole = lambda m: m.join(F.broadcast(depth), "volume").filter("z >= 0 and z <= _last").drop("_last")
+    whole = lambda m: m.join(depth, "volume").filter("z >= 0 and z <= _last").drop("_last")
     boxes = lambda m: region_boxes(whole(m), min_area=min_area, connectivity=connectivity)
     ranked = lambda b, base: b.withColumn("ord", F.col("ord").cast("long") + F.lit(base))
     third, fourth, both = boxes(absent_from(voxels, 2, 1)), boxes(absent_from(voxels, 3, 1)), boxes(absent_from(voxels, 3, 2, 1))
@@ -154,7 +158,7 @@ def update_boxes(boxes: DataFrame, voxels: DataFrame, names: DataFrame, *, min_a
     two, _ = missing_boxes(voxels, min_area=min_area)
     at = two.withColumn("z", F.col("z") + 1).join(names, "z")
     last = boxes.groupBy("image_name").agg(F.max("ord").alias("_last"))
-    new = at.join(last, "image_name", "left").select("image_name", "z", (F.coalesce("_last", F.lit(-1)) + F.row_number().over(_by_image())).cast("int").alias("ord"), "x0", "y0", "x1", "y1")
+    new = at.join(last, "image_name", "left").select("image_name", "z", (F.coalesce("_last", F.lit(-1)) + F.row_number().over(_by_image())).cast("int").alias("ord"), *swap_axes([F.col(c) for c in ("y0", "x0", "y1", "x1")]))
     return boxes.unionByName(new)
 
 

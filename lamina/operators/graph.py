@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.session import cut
+from lamina.session import cut, free
 
 
 def connected_components(edges: DataFrame, *, keys: list[str] | None = None) -> DataFrame:
@@ -18,17 +18,21 @@ def connected_components(edges: DataFrame, *, keys: list[str] | None = None) ->
     shrinks each round, until none is left. Every round is written to the shared folder.
     """
     keys = keys or []
-    one = cut(edges.select(*keys, "a", "b").filter("a <> b"))
+    edges = cut(edges.select(*keys, "a", "b"))
+    one = edges.filter("a <> b")
     left = cut(one.unionByName(one.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     ends = edges.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = cut(ends.withColumn("root", F.col("node")))
+    free(edges)
     while left.limit(1).count():
         least = cut(left.groupBy(*keys, "a").agg(F.min("b").alias("_m")).select(*keys, F.col("a").alias("_from"), F.least("a", "_m").alias("_mid")))
         onward = least.select(*keys, F.col("_from").alias("_mid"), F.col("_mid").alias("_to"))
         to = cut(least.join(onward, [*keys, "_mid"]).select(*keys, "_from", "_to"))
         at = lambda c: to.select(*keys, F.col("_from").alias(c), F.col("_to").alias(f"_{c}"))  # noqa: B023, E731
+        used = [labels, left, least, to]
         labels = cut(labels.join(at("root"), [*keys, "root"], "left").select(*keys, "node", F.coalesce("_root", "root").alias("root")))
         left = cut(left.join(at("a"), [*keys, "a"]).join(at("b"), [*keys, "b"]).filter("_a <> _b").select(*keys, F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        free(*used)
     return labels
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,14 +15,33 @@ from lamina.model import FEATURES
 from lamina.operators.graph import fill_gaps, gap_links, link_tracks
 from lamina.operators.overlap import build_edges, endpoints, with_global_ids
 from lamina.operators.regions import slice_components
+from lamina.session import cut
+
+SPLIT_BITS = 10  # of a hash order that are counted at once
+SCORE_BUCKETS = 4096
 
 
 def stratified_split(edges: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, validation): the first ``share`` of each class in a seeded hash order."""
     key = F.xxhash64(F.lit(seed), "volume", "z", "dz", "c_src", "c_tgt")
-    rank = F.percent_rank().over(Window.partitionBy("label_same").orderBy(key))
-    marked = edges.withColumn("_r", rank)
-    return marked.filter(F.col("_r") >= share).drop("_r"), marked.filter(F.col("_r") < share).drop("_r")
+    marked = edges.withColumn("_key", key).withColumn("_bucket", F.shiftright("_key", 64 - SPLIT_BITS))
+    counts: dict = {}
+    for label, bucket, n in marked.groupBy("label_same", "_bucket").count().collect():  # classes * 2**SPLIT_BITS rows at most
+        counts.setdefault(label, []).append((bucket, n))
+    rows = []  # of each class the bucket in which the share ends, and what is left of it there
+    for label, buckets in counts.items():
+        rest = math.ceil(share * sum(n for _, n in buckets))
+        for bucket, n in sorted(buckets):
+            if rest <= n:
+                rows.append((label, bucket, rest))
+                break
+            rest -= n
+    ends = F.broadcast(edges.sparkSession.createDataFrame(rows, "label_same int, _end long, _rest int"))
+    placed = marked.join(ends, "label_same")
+    # only the bucket in which the share ends is put in order
+    last = placed.filter("_bucket = _end").withColumn("_held", F.row_number().over(Window.partitionBy("label_same", "_bucket").orderBy("_key", "volume", "z", "dz", "c_src", "c_tgt")) <= F.col("_rest"))
+    done = cut(placed.filter("_bucket <> _end").withColumn("_held", F.col("_bucket") < F.col("_end")).unionByName(last).select(*edges.columns, "_held"))
+    return done.filter("not _held").drop("_held"), done.filter("_held").drop("_held")
 
 
 def slice_split(edges: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -59,11 +80,17 @@ def importances(model) -> list[tuple[str, float]]:
 def ranking_scores(scored: DataFrame, label: str = "label_same", score: str = "p_link") -> DataFrame:
     """One row: roc_auc and average_precision (a step sum); null with a single class.
 
-    Rows of one score are one step, so a window runs over distinct scores only.
+    Rows of one score are one step. Running sums go over buckets of the score first, then
+    inside each bucket, so no task holds all scores.
     """
     steps = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = steps.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
+    steps = cut(steps.withColumn("k", F.floor(F.col("s") * SCORE_BUCKETS)))
+    down = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    none = F.lit(0.0)
+    before = steps.groupBy("k").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).select("k", F.coalesce(F.sum("p").over(down), none).alias("_p"), F.coalesce(F.sum("n").over(down), none).alias("_n"))
+    w = Window.partitionBy("k").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = steps.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w)).join(F.broadcast(before), "k")
+    run = run.withColumn("tp", F.col("tp") + F.col("_p")).withColumn("fp", F.col("fp") + F.col("_n"))
     total = F.broadcast(steps.agg(F.sum("p").alias("_all_p"), F.sum("n").alias("_all_n")))
     terms = run.join(total, F.lit(True))
     auc = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / F.first(F.col("_all_p") * F.col("_all_n"))
@@ -91,18 +118,18 @@ def _painted(components: DataFrame, tracks: DataFrame) -> DataFrame:
 
 def link_full(runs: DataFrame, model, *, min_px: int = 8, connectivity: int = 1, skip_links: bool = False, p_thresh: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(scored edges, linked runs) of one pass over neighbouring slices."""
-    parts = with_global_ids(slice_components(runs, connectivity))
-    scored = score_edges(build_edges(parts, dzs=(1, 2) if skip_links else (1,), min_px=min_px), model)
+    parts = cut(with_global_ids(slice_components(runs, connectivity)))
+    scored = cut(score_edges(build_edges(parts, dzs=(1, 2) if skip_links else (1,), min_px=min_px), model))
     return scored, _painted(parts, link_tracks(parts, scored, p_thresh))
 
 
 def link_iterative(runs: DataFrame, model, *, min_px: int = 8, p_dz1: float = 0.6, p_dz2: float = 0.7, d_max: float = 3.0, ratio_min: float = 0.5) -> dict[str, DataFrame]:
     """Pass A links neighbouring slices; pass B bridges single missing slices at track ends."""
-    parts = with_global_ids(slice_components(runs))
-    scored = score_edges(build_edges(parts, dzs=(1, 2), min_px=min_px), model)
+    parts = cut(with_global_ids(slice_components(runs)))
+    scored = cut(score_edges(build_edges(parts, dzs=(1, 2), min_px=min_px), model))
     first = scored.filter("dz = 1")
-    tracks = link_tracks(parts, first, p_dz1)
-    on = parts.join(tracks, ["volume", "gid"])
+    tracks = cut(link_tracks(parts, first, p_dz1))
+    on = cut(parts.join(tracks, ["volume", "gid"]))
     links = gap_links(scored, endpoints(on), endpoints(on, forward=False), p_thresh=p_dz2, d_max=d_max, ratio_min=ratio_min)
     return {"edges_a": first, "linked_a": _painted(parts, tracks), "edges": scored, "linked": _painted(parts, fill_gaps(tracks, links))}
 

@@ -34,6 +34,11 @@ def volume_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.select("volume", F.col("_l").alias("a_id"), F.col("_r").alias("b_id"), "inter")
 
 
+def common_voxels(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(volume, n): voxels in both volumes, whatever their ids."""
+    return _meet(a, b, "id", "id").groupBy("volume").agg(F.sum("_w").cast("long").alias("n"))
+
+
 def instance_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """Overlapping (gt_id, pred_id) with sizes, IoU and Dice. A size counts all voxels."""
     size = lambda runs, name: runs.groupBy("volume", F.col("id").alias(f"{name}_id")).agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias(f"{name}_voxels"))
@@ -115,12 +120,15 @@ def merge_volumes(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def overlay(*volumes: DataFrame) -> DataFrame:
-    """One id per voxel: the highest, as if ids were painted in ascending order."""
+    """One id per voxel: the highest, as if ids were painted in ascending order.
+
+    Voxels are dealt by line, so runs and joins of lines that follow need no further shuffle.
+    """
     place = ["volume", "z", "y", "x"]
     out = volumes[0].select(*place, "id")
     for v in volumes[1:]:
         out = out.unionByName(v.select(*place, "id"))
-    return out.groupBy(*place).agg(F.max("id").alias("id"))
+    return out.repartition("volume", "z", "y").groupBy(*place).agg(F.max("id").alias("id"))
 
 
 def absent_from(voxels: DataFrame, later: int, *earlier: int) -> DataFrame:

@@ -102,13 +102,18 @@ def fill_objects(runs: DataFrame, *, min_area: int = 1, background: int = 2) ->
     """
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, oy, ox = _crop(rows)
-        whole = np.zeros_like(out)
-        for i in np.unique(out[out > 0]):
-            mask = K.drop_small(out == i, min_area)
+        parts = []
+        for i, own in rows.sort_values("id", kind="stable").groupby("id"):
+            image, oy, ox = _crop(own)  # an id's own box
+            mask = K.drop_small(image > 0, min_area)
             if mask.any():
-                whole[K.fill_holes(mask, background)] = i
-        return _frame(key, whole, oy, ox)
+                y, a, b, _ = K.runs(K.fill_holes(mask, background).astype(np.int8))
+                parts.append((y + oy, a + ox, b + ox, np.full(len(y), i)))
+        if not parts:
+            return rows.iloc[:0][["volume", "z", "y", "x0", "x1", "id"]]
+        y, a, b, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+        oy, ox = int(y.min()), int(a.min())
+        return _frame(key, K.paint((int(y.max()) - oy + 1, int(b.max()) - ox), y - oy, a - ox, b - ox, v), oy, ox)
 
     return runs.groupBy("volume", "z").applyInPandas(one, RUN)
 

@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import expressions as X
+from lamina.model import to_runs
 from lamina.operators import clean, evaluate, graph, link, overlap, postproc, regions, resample
 from lamina.plans import fixture as S
+from lamina.plans import folds
+from lamina.session import cut
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -59,7 +62,7 @@ def _places(voxels: DataFrame) -> DataFrame:
 
 
 def _parts(spark, sf_dir: str) -> DataFrame:
-    return overlap.with_global_ids(regions.slice_components(S.pred_runs(spark, sf_dir)))
+    return cut(overlap.with_global_ids(regions.slice_components(S.pred_runs(spark, sf_dir))))
 
 
 # --- counts, filters and masks -------------------------------------------------
@@ -140,6 +143,12 @@ _BOXES = "box AS MATERIALIZED (SELECT volume, z, id AS i, min(y) AS y0, min(x) A
 _TOUCH = "box a JOIN box b ON a.volume = b.volume AND a.z = b.z AND a.i < b.i AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.x0 < b.x1 AND b.x0 < a.x1"
 
 
+def _both(spark, sf_dir):
+    """Ground truth and prediction as stored runs, since evaluations read them several times."""
+    gt = cut(S.gt(spark, sf_dir))
+    return cut(to_runs(gt)), cut(to_runs(S.pred_of(gt)))
+
+
 def _slice_boxes(spark, sf_dir):
     return overlap.bounding_boxes(S.pred_runs(spark, sf_dir), "volume", "z", "id").select("volume", "z", F.col("id").alias("i"), F.col("id").alias("label"), "y0", "x0", "y1", "x1")
 
@@ -173,12 +182,12 @@ def yolo_boxes(spark, sf_dir):
     return part.select("p_partkey", *X.corners(d(p * 37 % 1000) / 1000.0, d(p * 61 % 1000) / 1000.0, d(F.col("p_size")) / 100.0, d(p % 41) / 100.0, 1024))
 
 
-@query()
+@query(S.sql(S.GT, S.PRED, *folds.missing(12, 0.8), then="SELECT * FROM kept"))
 def missing_boxes(spark, sf_dir):
     return clean.missing_boxes(S.pred(spark, sf_dir), min_area=12)[0]
 
 
-@query()
+@query(S.sql(S.GT, S.PRED, _BOXES, "each AS (SELECT *, i AS ord FROM box)", folds.boxes_fold("each", 0.3), then="SELECT * FROM kept"))
 def duplicate_boxes(spark, sf_dir):
     boxes = _slice_boxes(spark, sf_dir).withColumn("ord", F.col("i"))
     return graph.drop_duplicate_boxes(boxes, 0.3)
@@ -265,12 +274,17 @@ def track_mode(spark, sf_dir):
     return overlap.track_mode(regions.slice_components(S.pred_runs(spark, sf_dir)), S.gt_runs(spark, sf_dir))
 
 
-@query()
+_FWD = _ENDS.replace("{step}", "1").replace("going", "going_on") + ", fwd AS (SELECT DISTINCT volume, z, c FROM here ANTI JOIN going_on USING (volume, z, c))"
+_BWD = _ENDS.replace("{step}", "-1").replace("going", "gone_by").replace("here", "there") + ", bwd AS (SELECT DISTINCT volume, z, c FROM there ANTI JOIN gone_by USING (volume, z, c))"
+
+
+@query(S.sql(S.GT, S.PRED, S.COMPONENTS, S.edges_sql(1), S.edges_sql(2), S.tracks_sql(0.6), _FWD, _BWD, folds.GREEDY, then="SELECT volume, gid, coalesce(upto, track) AS track FROM track LEFT JOIN final USING (volume, track)"))
 def gap_fill(spark, sf_dir):
     parts = _parts(spark, sf_dir)
     edges = overlap.build_edges(parts, dzs=(1, 2)).withColumn("p_link", F.col("IoU"))
-    found = graph.link_tracks(parts, edges.filter("dz = 1"), 0.6)
-    on = parts.join(found, ["volume", "gid"])
+    edges = cut(edges)
+    found = cut(graph.link_tracks(parts, edges.filter("dz = 1"), 0.6))
+    on = cut(parts.join(found, ["volume", "gid"]))
     links = graph.gap_links(edges, overlap.endpoints(on), overlap.endpoints(on, forward=False), p_thresh=0.3, d_max=8.0, ratio_min=0.3)
     return graph.fill_gaps(found, links)
 
@@ -302,13 +316,13 @@ def large_regions(spark, sf_dir):
 
 @query(S.sql(S.GT, S.PRED, S.PAIRS, then="SELECT volume, gt_id, pred_id, inter, gt_voxels, pred_voxels, round(iou, 9) AS iou FROM pair"))
 def pair_iou(spark, sf_dir):
-    pairs = overlap.instance_pairs(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+    pairs = overlap.instance_pairs(*_both(spark, sf_dir))
     return pairs.select("volume", "gt_id", "pred_id", "inter", "gt_voxels", "pred_voxels", F.round("iou", 9).alias("iou"))
 
 
 @query(S.sql(S.GT, S.PRED, S.PAIRS, then="SELECT volume, gt_id, pred_id, round(dice, 9) AS dice FROM pair"))
 def pair_dice(spark, sf_dir):
-    pairs = overlap.instance_pairs(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+    pairs = overlap.instance_pairs(*_both(spark, sf_dir))
     return pairs.select("volume", "gt_id", "pred_id", F.round("dice", 9).alias("dice"))
 
 
@@ -323,7 +337,7 @@ total AS (SELECT volume, count(*) AS n_gt, any_value(np) AS n_pred FROM gsize LE
 
 @query(S.sql(S.GT, S.PRED, S.PAIRS, then="SELECT volume, gt_id AS GT_id, pred_id AS Pred_id, round(iou, 4) AS IoU, round(dice, 4) AS Dice, gt_voxels AS GT_voxels, pred_voxels AS Pred_voxels FROM pair WHERE iou::FLOAT > 0.5::FLOAT"))
 def matches_gt_half(spark, sf_dir):
-    pairs = overlap.instance_pairs(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+    pairs = overlap.instance_pairs(*_both(spark, sf_dir))
     return evaluate.match_table(pairs.filter(F.col("iou").cast("float") > F.lit(0.5).cast("float")))
 
 
@@ -331,20 +345,27 @@ def matches_gt_half(spark, sf_dir):
 hits AS (SELECT volume, IoU_threshold, n_gt, n_pred, count(*) FILTER (WHERE iou::FLOAT::DOUBLE >= IoU_threshold) AS TP FROM (SELECT * FROM total CROSS JOIN t) LEFT JOIN pair USING (volume) GROUP BY ALL)""",
     then="SELECT volume, IoU_threshold, TP, n_pred - TP AS FP, n_gt - TP AS FN, round(TP::DOUBLE / (n_gt + n_pred - TP), 4) AS S, round(TP::DOUBLE / n_pred, 4) AS Precision, round(TP::DOUBLE / n_gt, 4) AS Recall FROM hits"))
 def threshold_sweep_gt_half(spark, sf_dir):
-    return evaluate.threshold_sweep(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir), [t for t in X.THRESHOLDS if t > 0.5])
+    return evaluate.threshold_sweep(*_both(spark, sf_dir), [t for t in X.THRESHOLDS if t > 0.5])
 
 
-@query()
+_SWEPT = """
+swept AS (
+  SELECT volume, th AS IoU_threshold, n_gt, n_pred, coalesce(tp, 0) AS TP FROM (SELECT * FROM total CROSS JOIN th) LEFT JOIN (SELECT volume, th, sum(n)::BIGINT AS tp FROM best GROUP BY ALL) USING (volume, th)),
+scored AS (
+  SELECT volume, IoU_threshold, TP, n_pred - TP AS FP, n_gt - TP AS FN, round(TP::DOUBLE / (n_gt + n_pred - TP), 4) AS S, round(TP::DOUBLE / n_pred, 4) AS Precision, round(TP::DOUBLE / n_gt, 4) AS Recall FROM swept)"""
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, _COUNTS, folds.matching(X.THRESHOLDS), _SWEPT, then="SELECT * FROM scored"))
 def threshold_sweep(spark, sf_dir):
-    return evaluate.threshold_sweep(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+    return evaluate.threshold_sweep(*_both(spark, sf_dir))
 
 
 _HALF = "m AS (SELECT * FROM pair WHERE iou > 0.5)"
 
 
 def _unmatched(spark, sf_dir):
-    g, p = S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir)
-    pairs = overlap.instance_pairs(g, p)
+    g, p = _both(spark, sf_dir)
+    pairs = cut(overlap.instance_pairs(g, p))
     return evaluate.unmatched(pairs.filter("iou > 0.5D"), g, p, pairs)
 
 
@@ -363,25 +384,63 @@ _PAN = "f AS (SELECT volume, count(*) AS TP, avg(iou::FLOAT::DOUBLE) AS SQ FROM
 
 @query(S.sql(S.GT, S.PRED, S.PAIRS, _COUNTS, _PAN, then="SELECT volume, round(SQ * TP / (TP + 0.5 * (n_pred - TP) + 0.5 * (n_gt - TP)), 6) AS PQ, round(SQ, 6) AS SQ, round(TP / (TP + 0.5 * (n_pred - TP) + 0.5 * (n_gt - TP)), 6) AS DQ, TP, n_pred - TP AS FP, n_gt - TP AS FN FROM q"))
 def panoptic_scores(spark, sf_dir):
-    scores = evaluate.panoptic(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir), 0.55)
+    scores = evaluate.panoptic(*_both(spark, sf_dir), 0.55)
     return scores.select("volume", *[F.round(c, 6).alias(c) for c in ("PQ", "SQ", "DQ")], "TP", "FP", "FN")
 
 
 @query(S.sql(S.GT, S.PRED, "c AS (SELECT volume, count(*) FILTER (WHERE g.id IS NOT NULL AND p.id IS NOT NULL) AS tp, count(*) FILTER (WHERE g.id IS NULL) AS fp, count(*) FILTER (WHERE p.id IS NULL) AS fn FROM gt g FULL JOIN pred p USING (volume, z, y, x) GROUP BY ALL)",
     then="SELECT volume, tp, fp, fn, round(2 * tp::DOUBLE / (2 * tp + fp + fn), 6) AS dice_full, round(tp::DOUBLE / (tp + fp + fn), 6) AS iou_full, round(tp::DOUBLE / (tp + fp), 6) AS prec_full, round(tp::DOUBLE / (tp + fn), 6) AS rec_full, round(2 * tp::DOUBLE / (2 * tp + fn), 6) AS dice_sparse, round(tp::DOUBLE / (tp + fn), 6) AS iou_sparse, 1.0::DOUBLE AS prec_sparse, round(tp::DOUBLE / (tp + fn), 6) AS rec_sparse FROM c"))
 def semantic_scores(spark, sf_dir):
-    out = evaluate.semantic(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+    out = evaluate.semantic(*_both(spark, sf_dir))
     return out.select("volume", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in out.columns if "_" in c])
 
 
-@query()
+_TABLE = """
+won AS (SELECT volume, unnest(chosen) AS gt_id, unnest(used) AS pred_id FROM best),
+hit AS MATERIALIZED (SELECT p.* FROM pair p JOIN won USING (volume, gt_id, pred_id))"""
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, folds.matching([0.5]), _TABLE, then="""
+SELECT volume, gt_id AS GT_id, pred_id AS Pred_id, round(iou, 4) AS IoU, round(dice, 4) AS Dice, gt_voxels AS GT_voxels, pred_voxels AS Pred_voxels, 'TP' AS Match FROM hit
+UNION ALL SELECT volume, id, NULL, 0, 0, n, 0, 'FN' FROM gsize WHERE (volume, id) NOT IN (SELECT (volume, gt_id) FROM hit)
+UNION ALL SELECT volume, NULL, id, 0, 0, 0, n, 'FP' FROM psize WHERE (volume, id) IN (SELECT (volume, pred_id) FROM pair) AND (volume, id) NOT IN (SELECT (volume, pred_id) FROM hit)"""))
 def panoptic_table(spark, sf_dir):
-    return evaluate.panoptic_table(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir))
+    return evaluate.panoptic_table(*_both(spark, sf_dir))
 
 
-@query()
+_SUMMARY = """
+sw AS (SELECT volume, round(avg(S), 4) AS m, max(S) FILTER (WHERE IoU_threshold = 0.5) AS h, max(S) FILTER (WHERE IoU_threshold = 0.75) AS q FROM scored GROUP BY ALL),
+won AS (SELECT volume, unnest(chosen) AS gt_id, unnest(used) AS pred_id FROM best WHERE th = 0.5),
+half AS (SELECT volume, count(*) AS TP, avg(iou::FLOAT::DOUBLE) AS SQ FROM pair JOIN won USING (volume, gt_id, pred_id) GROUP BY ALL),
+pan AS (SELECT volume, n_gt, n_pred, coalesce(TP, 0) AS TP, coalesce(SQ, 0) AS SQ, coalesce(TP, 0) / (coalesce(TP, 0) + 0.5::DOUBLE * (n_pred - coalesce(TP, 0)) + 0.5::DOUBLE * (n_gt - coalesce(TP, 0))) AS DQ FROM total LEFT JOIN half USING (volume)),
+sem AS (SELECT volume, count(*) FILTER (WHERE g.id IS NOT NULL AND p.id IS NOT NULL)::DOUBLE AS tp, count(*) FILTER (WHERE g.id IS NULL) AS fp, count(*) FILTER (WHERE p.id IS NULL) AS fn FROM gt g FULL JOIN pred p USING (volume, z, y, x) GROUP BY ALL)"""
+
+
+_MATCHED = "SELECT volume, gt_id AS GT_id, pred_id AS Pred_id, round(iou, 4) AS IoU, round(dice, 4) AS Dice, gt_voxels AS GT_voxels, pred_voxels AS Pred_voxels FROM hit"
+
+
+def _matched(spark, sf_dir, threshold: float):
+    return evaluate.match_table(graph.match(cut(overlap.instance_pairs(*_both(spark, sf_dir))), threshold))
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, folds.matching([0.5]), _TABLE, then=_MATCHED))
+def matches_at_50(spark, sf_dir):
+    return _matched(spark, sf_dir, 0.5)
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, folds.matching([0.75]), _TABLE, then=_MATCHED))
+def matches_at_75(spark, sf_dir):
+    return _matched(spark, sf_dir, 0.75)
+
+
+@query(S.sql(S.GT, S.PRED, S.PAIRS, _COUNTS, folds.matching(X.THRESHOLDS), _SWEPT, _SUMMARY, then="""
+SELECT volume, 'gt' AS GT_path, 'pred' AS Pred_path, m AS Instance_S_mean, h AS "Instance_S_at_0.5", q AS "Instance_S_at_0.75", round(SQ * DQ, 4) AS PQ, round(SQ, 4) AS SQ, round(DQ, 4) AS DQ,
+       pan.TP AS TP_instances, n_pred - pan.TP AS FP_instances, n_gt - pan.TP AS FN_instances, n_gt AS GT_instances, n_pred AS Valid_predictions,
+       round(2 * sem.tp / (2 * sem.tp + fn), 4) AS Semantic_Dice_sparse, round(sem.tp / (sem.tp + fn), 4) AS Semantic_IoU_sparse, 1.0::DOUBLE AS Semantic_Prec_sparse, round(sem.tp / (sem.tp + fn), 4) AS Semantic_Rec_sparse,
+       round(2 * sem.tp / (2 * sem.tp + fp + fn), 4) AS Semantic_Dice_full, round(sem.tp / (sem.tp + fp + fn), 4) AS Semantic_IoU_full, round(sem.tp / (sem.tp + fp), 4) AS Semantic_Prec_full, round(sem.tp / (sem.tp + fn), 4) AS Semantic_Rec_full
+FROM sw JOIN pan USING (volume) JOIN sem USING (volume)"""))
 def evaluation_summary(spark, sf_dir):
-    return evaluate.summary(S.gt_runs(spark, sf_dir), S.pred_runs(spark, sf_dir), "gt", "pred")
+    return evaluate.summary(*_both(spark, sf_dir), "gt", "pred")
 
 
 # --- resampling ----------------------------------------------------------------
@@ -412,7 +471,7 @@ def upscale_instances(spark, sf_dir):
     return _digest_voxels(resample.upscale_instances(S.gt(spark, sf_dir), (32, 420, 220), (32, 840, 330)))
 
 
-@query()
+@query(S.sql(S.GT, S.PRED, S.PROB, folds.GROWN, then=_digest_sql("refined")))
 def refine_touching(spark, sf_dir):
     # the threshold leaves regions of several voxels in this noise
     return _digest_voxels(resample.refine(S.pred(spark, sf_dir), S.prob(spark, sf_dir), 0.5))
@@ -430,7 +489,7 @@ def inverse_alignment(spark, sf_dir):
 # --- cleaning, repair and learning ---------------------------------------------
 
 
-@query()
+@query(S.sql(S.GT, S.PRED, S.COMPONENTS, folds.FILLED, then=_digest_sql("filled")))
 def fill_objects(spark, sf_dir):
     return _digest(regions.fill_objects(S.pred_runs(spark, sf_dir), min_area=5))
 
@@ -469,7 +528,7 @@ def harmonize_ids(spark, sf_dir):
 
 
 def _forest(spark, sf_dir):
-    edges = overlap.training_edges(overlap.with_global_ids(regions.slice_components(S.pred_runs(spark, sf_dir))))
+    edges = overlap.training_edges(_parts(spark, sf_dir))
     train, held = link.stratified_split(edges)
     # a depth of 8 and 20 trees keep the query short; the defaults are 400 trees of depth 30
     return link.train_forest(train, trees=20, depth=8), held

@@ -31,7 +31,10 @@ def gt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gt(spark, sf_dir)
+    return pred_of(gt(spark, sf_dir))
+
+
+def pred_of(g: DataFrame) -> DataFrame:
     z, y, x, i = (F.col(c) for c in ("z", "y", "x", "id"))
     seen = g.filter((i % 13 != 0) & ((31 * z + 17 * y + 13 * x + 7 * i) % 11 != 0)).withColumn("x", (x + i % 3).cast("int"))
     main = seen.withColumn("id", F.when((i % 10 == 0) & (F.col("x") % 2 == 0), i + 1000).otherwise(i))
@@ -118,11 +121,15 @@ edge{dz} AS MATERIALIZED (
   WHERE overlap_px >= 8)"""
 
 
-TRACKS = """
-link AS (SELECT volume, gid_src AS a, gid_tgt AS b FROM edge1 WHERE IoU >= 0.5 UNION ALL SELECT volume, gid_tgt, gid_src FROM edge1 WHERE IoU >= 0.5),
+def tracks_sql(threshold: float) -> str:
+    return f"""
+link AS (SELECT volume, gid_src AS a, gid_tgt AS b FROM edge1 WHERE IoU >= {threshold} UNION ALL SELECT volume, gid_tgt, gid_src FROM edge1 WHERE IoU >= {threshold}),
 walk AS (SELECT volume, gid AS node, gid AS seen FROM geo UNION SELECT w.volume, w.node, l.b FROM walk w JOIN link l ON l.volume = w.volume AND l.a = w.seen),
 track AS MATERIALIZED (SELECT volume, node AS gid, min(seen) AS track FROM walk GROUP BY ALL)"""
 
 
+TRACKS = tracks_sql(0.5)
+
+
 def sql(*parts: str, then: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts) + "\n" + then

@@ -1,8 +1,9 @@
 """Small NumPy codecs for slices: PNG, baseline TIFF, npy and npz.
 
-They cover what the workload writes: grey or colour PNG without interlace, and strip
-TIFF of integers or floats, plain or deflated, with one page a slice. Other files can be
-read by passing an own decoder to ``images``.
+They cover what the workload and common tools write: grey or colour PNG without
+interlace, and TIFF or BigTIFF of integers or floats in strips or tiles, plain, deflated,
+LZW or PackBits, with or without the horizontal predictor, one page a slice. Other files
+can be read by passing an own decoder to ``read_volume``.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from __future__ import annotations
 import io
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 # TIFF tags, and bytes of their value types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, SIZES, PREDICTOR, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 339
+TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES = 322, 323, 324, 325
 TYPE_BYTES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4), 16: ("Q", 8)}
 
 
@@ -107,39 +110,104 @@ def tiff_shape(data: bytes) -> tuple[int, int, int]:
     return len(pages), pages[0][HEIGHT][0], pages[0][WIDTH][0]
 
 
+def lzw(data: bytes) -> bytes:
+    """The variable-length code of TIFF: 9 to 12 bits, most significant bit first, widened one code early."""
+    out, table, width = [], [bytes([k]) for k in range(256)] + [b"", b""], 9
+    bits = held = 0
+    before = b""
+    for byte in data:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            del table[258:]
+            width, before = 9, b""
+            continue
+        said = table[code] if code < len(table) else before + before[:1]
+        out.append(said)
+        if before:
+            table.append(before + said[:1])
+            width = max(9, min(12, (len(table) + 1).bit_length()))
+        before = said
+    return b"".join(out)
+
+
+def packbits(data: bytes) -> bytes:
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out.append(data[at + 1 : at + 2 + n])
+            at += 2 + n
+        else:
+            out.append(data[at + 1 : at + 2] * (257 - n) if n > 128 else b"")
+            at += 2 if n > 128 else 1
+    return b"".join(out)
+
+
+# Numbers of TIFF compressions.
+UNPACK = {1: bytes, 5: lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: packbits}
+
+
+def _block(data: bytes, shape: tuple[int, int, int], dtype: str, predictor: int) -> np.ndarray:
+    """(rows, columns, samples) of one strip or tile; a short last strip has fewer rows."""
+    row = shape[1] * shape[2] * np.dtype(dtype).itemsize
+    out = np.frombuffer(data[: len(data) // row * row], dtype).reshape(-1, *shape[1:])
+    out = out.astype(out.dtype.newbyteorder("="))
+    return np.cumsum(out, axis=1, dtype=out.dtype) if predictor == 2 else out
+
+
 def read_tiff(data: bytes) -> np.ndarray:
     """(pages, H, W) of a grey stack; further samples of a pixel are left out."""
     out = []
     for tags, order in tiff_pages(data):
-        w, h, bits = tags[WIDTH][0], tags[HEIGHT][0], tags.get(BITS, (1,))[0]
-        kind = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]]
-        packing = tags.get(COMPRESSION, (1,))[0]
-        if packing not in (1, 8, 32946) or bits % 8 or tags.get(PREDICTOR, (1,))[0] != 1:
-            raise ValueError(f"TIFF compression {packing} with {bits} bits isn't supported")
-        parts = [data[a : a + n] for a, n in zip(tags[STRIPS], tags[SIZES], strict=True)]
-        raw = b"".join(zlib.decompress(p) if packing != 1 else p for p in parts)
-        samples = tags.get(SAMPLES, (1,))[0]
-        image = np.frombuffer(raw, f"{order}{kind}{bits // 8}").reshape(h, w, samples)[..., 0]
-        out.append(image.astype(image.dtype.newbyteorder("=")))
+        one = lambda tag, default=1: tags.get(tag, (default,))[0]  # noqa: B023, E731
+        w, h, bits, samples, packing, predictor = tags[WIDTH][0], tags[HEIGHT][0], one(BITS), one(SAMPLES), one(COMPRESSION), one(PREDICTOR)
+        if packing not in UNPACK or bits % 8 or predictor not in (1, 2):
+            raise ValueError(f"TIFF compression {packing} with {bits} bits and predictor {predictor} isn't supported")
+        dtype = order + {1: "u", 2: "i", 3: "f"}[one(FORMAT)] + str(bits // 8)
+        tiled = TILES in tags
+        th, tw = (tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]) if tiled else (min(one(ROWS, h), h), w)
+        image = np.zeros((h, w), np.dtype(dtype).newbyteorder("="))
+        across = -(-w // tw)
+        for k, (at, n) in enumerate(zip(tags[TILES if tiled else STRIPS], tags[TILE_SIZES if tiled else SIZES], strict=True)):
+            y, x = k // across * th, k % across * tw
+            part = _block(UNPACK[packing](data[at : at + n]), (th, tw, samples), dtype, predictor)[..., 0]
+            image[y : y + part.shape[0], x : x + tw] = part[: h - y, : w - x]
+        out.append(image)
     return np.stack(out)
 
 
-def write_tiff(stack: np.ndarray, compress: bool = False) -> bytes:
-    """A little-endian stack, one strip a page."""
-    kind = {"u": 1, "i": 2, "f": 3}[stack.dtype.kind]
-    out = io.BytesIO(b"II*\0\x08\0\0\0")
-    out.seek(8)
-    for z, image in enumerate(stack):
+def tiff_stream(pages: Iterable[np.ndarray], count: int, compress: bool = False, big: bool = False) -> Iterator[bytes]:
+    """A little-endian stack, one strip a page, as pieces to write one after the other.
+
+    ``big`` writes BigTIFF, whose places have 64 bits; one page is in memory at a time.
+    """
+    word, entry = ("Q", 20) if big else ("I", 12)
+    yield b"II" + struct.pack("<HHHQ", 43, 8, 0, 16) if big else b"II" + struct.pack("<HI", 42, 8)
+    here = 16 if big else 8
+    for z, image in enumerate(pages):
+        kind = {"u": 1, "i": 2, "f": 3}[image.dtype.kind]
         body = image.astype(image.dtype.newbyteorder("<")).tobytes()
         body = zlib.compress(body, 6) if compress else body
-        here = out.tell()
-        tags = [(WIDTH, image.shape[1]), (HEIGHT, image.shape[0]), (BITS, image.dtype.itemsize * 8), (COMPRESSION, 8 if compress else 1), (PHOTOMETRIC, 1), (STRIPS, here + 2 + 12 * 10 + 4), (SAMPLES, 1), (ROWS, image.shape[0]), (SIZES, len(body)), (FORMAT, kind)]
-        following = here + 2 + 12 * len(tags) + 4 + len(body) + len(body) % 2
-        out.write(struct.pack("<H", len(tags)))
-        for tag, value in tags:
-            out.write(struct.pack("<HHII", tag, 4, 1, value))
-        out.write(struct.pack("<I", following if z + 1 < len(stack) else 0) + body + b"\0" * (len(body) % 2))
-    return out.getvalue()
+        body_at = here + (8 if big else 2) + entry * 10 + (8 if big else 4)
+        tags = [(WIDTH, image.shape[1]), (HEIGHT, image.shape[0]), (BITS, image.dtype.itemsize * 8), (COMPRESSION, 8 if compress else 1), (PHOTOMETRIC, 1), (STRIPS, body_at), (SAMPLES, 1), (ROWS, image.shape[0]), (SIZES, len(body)), (FORMAT, kind)]
+        pad = b"\0" * (-(body_at + len(body)) % 8)
+        following = body_at + len(body) + len(pad) if z + 1 < count else 0
+        if not big and body_at + len(body) > 0xFFFFFFFF:
+            raise ValueError("more than 4 GB: write with big=True")
+        head = struct.pack("<Q" if big else "<H", len(tags)) + b"".join(struct.pack(f"<HH{word}{word}", tag, 16 if big else 4, 1, value) for tag, value in tags) + struct.pack("<" + word, following)
+        yield head + body + pad
+        here = following
+
+
+def write_tiff(stack: np.ndarray, compress: bool = False, big: bool = False) -> bytes:
+    return b"".join(tiff_stream(stack, len(stack), compress, big))
 
 
 def read_array(data: bytes) -> np.ndarray:

@@ -8,14 +8,16 @@ so that a filter on either prunes files and row groups.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.expressions import corners, natural_key
+from lamina.functions.expressions import corners, file_stem, natural_key
 from lamina.model import META, VOXEL
+from lamina.session import small
 from lamina.sources import codecs
 
 SIDECAR = "._"
@@ -60,7 +62,7 @@ def _sparse(decoder: Callable[[bytes], np.ndarray], volume: int):
 def read_volume(spark: SparkSession, path: str, *, pattern: str = "*.png", volume: int = 0, decoder: Callable[[bytes], np.ndarray] = decode) -> DataFrame:
     """Voxels of a folder of slices, or of one stack file; background rows are left out."""
     found = files(spark, path, pattern)
-    ordered = found.join(F.broadcast(slice_order(found)), "name")  # one row a slice
+    ordered = found.join(small(slice_order(found)), "name")  # one row a slice
     return ordered.select("z", "content").mapInPandas(_sparse(decoder, volume), VOXEL)
 
 
@@ -89,7 +91,7 @@ def read_yolo(spark: SparkSession, path: str, *, image_size: int = 1024, suffix:
     Boxes keep the order of their lines.
     """
     raw = spark.read.option("wholetext", True).text(path, pathGlobFilter="*.txt")
-    named = raw.select(F.regexp_replace(F.col("_metadata.file_name"), "\\.txt$", suffix).alias("image_name"), F.posexplode(F.split("value", "\\r?\\n")).alias("line", "said"))
+    named = raw.select(F.concat(file_stem(F.col("_metadata.file_name")), F.lit(suffix)).alias("image_name"), F.posexplode(F.split("value", "\\r?\\n")).alias("line", "said"))
     parts = named.withColumn("f", F.split(F.trim(F.regexp_replace("said", "\\s+", " ")), " ")).filter(F.trim("said") != "")
     good = parts.filter(F.size("f") >= 6)
     number = lambda k: F.col("f")[k].cast("double")
@@ -98,13 +100,26 @@ def read_yolo(spark: SparkSession, path: str, *, image_size: int = 1024, suffix:
     return boxes, rejected
 
 
-def boxes_by_slice(boxes: DataFrame, names: DataFrame) -> DataFrame:
-    """Boxes with the z of their image; an image of ``names(image_name, z)`` without any entry
-    fails unless ``boxes`` lists it, so lists of images and boxes can't slip apart."""
+def yolo_images(spark: SparkSession, path: str, *, suffix: str = ".png") -> DataFrame:
+    """(image_name): the images that have a file of boxes, be it empty."""
+    named = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    return named.select(F.concat(file_stem(F.col("path")), F.lit(suffix)).alias("image_name"))
+
+
+def boxes_by_slice(boxes: DataFrame, names: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Boxes with the z of their image.
+
+    Boxes of an image that isn't in ``names(image_name, z)`` fail, and so does an image
+    without an entry: one that is neither in ``listed(image_name)`` (those with a file of
+    boxes) nor, without ``listed``, has a box. So lists of images and boxes can't slip apart.
+    """
+    lacking = names.join(boxes if listed is None else listed, "image_name", "left_anti").select("image_name").limit(1).collect()
     strange = boxes.join(names, "image_name", "left_anti").select("image_name").limit(1).collect()
     if strange:
         raise KeyError(f"boxes for {strange[0][0]}, which isn't an image of the stack")
-    return boxes.join(F.broadcast(names), "image_name").select("image_name", "z", "ord", "x0", "y0", "x1", "y1")
+    if lacking:
+        raise KeyError(f"no entry of boxes for {lacking[0][0]}")
+    return boxes.join(small(names), "image_name").select("image_name", "z", "ord", "x0", "y0", "x1", "y1")
 
 
 def read_probabilities(spark: SparkSession, path: str, *, channel: int = 1, volume: int = 0, above: float | None = None) -> DataFrame:
@@ -122,7 +137,7 @@ def read_probabilities(spark: SparkSession, path: str, *, channel: int = 1, volu
 
     found = files(spark, path, "*.npz")
     number = (F.row_number().over(Window.orderBy("name")) - 1).cast("int")
-    ordered = found.join(F.broadcast(found.select("name").withColumn("z", number)), "name")  # one row a slice
+    ordered = found.join(small(found.select("name").withColumn("z", number)), "name")  # one row a slice
     return ordered.select("z", "content").mapInPandas(run, "volume long, z int, y int, x int, p float")
 
 
@@ -164,3 +179,72 @@ def encode_slices(voxels: DataFrame, shape: tuple[int, int], kind: str = "png")
         return pd.DataFrame({"volume": [key[0]], "z": [key[1]], "content": [codecs.write_png(image) if kind == "png" else codecs.write_tiff(image[None], True)]})
 
     return voxels.groupBy("volume", "z").applyInPandas(one, "volume long, z int, content binary")
+
+
+@contextmanager
+def _sink(spark: SparkSession, path: str):
+    """A function that appends bytes to a new file of any store that Spark writes to."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        yield lambda data: out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_slices(voxels: DataFrame, shape: tuple[int, int], path: str, *, kind: str = "png", depth: int | None = None) -> int:
+    """One file a slice and volume, named by number; empty slices are written up to ``depth``.
+
+    Slices are encoded in parallel and pass through the driver one at a time, since files
+    with names of their own have no writer in Spark. Returns the number of files.
+    """
+    spark, n, seen = voxels.sparkSession, 0, set()
+    for volume, z, content in encode_slices(voxels, shape, kind).orderBy("volume", "z").toLocalIterator():
+        with _sink(spark, f"{path}/{volume}/{z:05d}.{kind}") as put:
+            put(bytes(content))
+        seen.add((volume, z))
+        n += 1
+    blank = np.zeros(shape, np.uint16 if kind == "png" else np.uint32)
+    empty = codecs.write_png(blank) if kind == "png" else codecs.write_tiff(blank[None], True)
+    for volume in {v for v, _ in seen}:
+        for z in range(depth or 0):
+            if (volume, z) not in seen:
+                with _sink(spark, f"{path}/{volume}/{z:05d}.{kind}") as put:
+                    put(empty)
+                n += 1
+    return n
+
+
+def write_stack(voxels: DataFrame, shape: tuple[int, int, int], path: str, *, big: bool | None = None) -> None:
+    """One volume as a TIFF stack of 32-bit ids, page by page; BigTIFF where 4 GB could be passed."""
+    depth, *image = shape
+    big = depth * image[0] * image[1] * 4 > 0xF0000000 if big is None else big
+    rows = voxels.groupBy("z").agg(F.sort_array(F.collect_list(F.struct("y", "x", "id"))).alias("p")).orderBy("z").toLocalIterator()  # one slice at a time
+
+    def pages() -> Iterator[np.ndarray]:
+        at = next(rows, None)
+        for z in range(depth):
+            page = np.zeros(image, np.uint32)
+            if at is not None and at["z"] == z:
+                y, x, ids = zip(*at["p"], strict=True)
+                page[list(y), list(x)] = ids
+                at = next(rows, None)
+            yield page
+
+    with _sink(voxels.sparkSession, path) as put:
+        for part in codecs.tiff_stream(pages(), depth, True, big):
+            put(part)
+
+
+def load_prediction(spark: SparkSession, prediction: DataFrame | str, shape: tuple[int, int, int], target: tuple[int, int, int], **options) -> DataFrame:
+    """A prediction of ``shape`` (nz, ny, nx) for a ground truth of ``target``.
+
+    Another number of slices fails; slices of another size are resized, nearest by the
+    floor rule.
+    """
+    from lamina.operators.resample import resize_slices
+
+    if shape[0] != target[0]:
+        raise ValueError(f"the prediction has {shape[0]} slices, the ground truth {target[0]}")
+    voxels = load_volume(spark, prediction, **options)
+    return voxels if shape[1:] == target[1:] else resize_slices(voxels, shape[1:], target[1:], "floor")

@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lamina.functions import kernels as K
+from lamina.functions import spans as L
 from lamina.operators.postproc import harmonize_window
 
 RUN = "volume long, z int, y int, x0 int, x1 int, id long"
 
 
-def _emit(volume: int, z: int, image: np.ndarray) -> pd.DataFrame:
-    y, a, b, v = K.runs(image)
+def _emit(volume: int, z: int, line: L.Slice, width: int) -> pd.DataFrame:
+    y, a, b, v = L.to_runs(line, width)
     return pd.DataFrame({"volume": volume, "z": np.int32(z), "y": y.astype(np.int32), "x0": a.astype(np.int32), "x1": b.astype(np.int32), "id": v.astype(np.int64)})
 
 
@@ -32,6 +32,7 @@ def harmonize_stream(runs: DataFrame, shape: tuple[int, int], depth: int, least:
     ``runs`` streams whole slices in order of z, a slice within one micro-batch; ``depth``
     is the number of slices of a volume, after which its last slices leave.
     """
+    width = shape[1] + L.SPARE
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, window = pickle.loads(state.get[0]) if state.exists else (0, [])
@@ -39,14 +40,13 @@ def harmonize_stream(runs: DataFrame, shape: tuple[int, int], depth: int, least:
         last = int(rows["z"].max())
         for z in range(first + len(window), last + 1):
             r = rows[rows["z"] == z]
-            window.append(K.paint(shape, r["y"], r["x0"], r["x1"], r["id"]))
+            window.append(L.of_runs(r["y"], r["x0"], r["x1"], r["id"], width))
             if len(window) == 5:
-                harmonize_window(window, least)
-                yield _emit(key[0], first, window.pop(0))
-                first += 1
+                yield _emit(key[0], first, window[0], width)
+                window, first = harmonize_window(window, least)[0], first + 1
         if last == depth - 1:
-            for k, image in enumerate(window):
-                yield _emit(key[0], first + k, image)
+            for k, line in enumerate(window):
+                yield _emit(key[0], first + k, line, width)
             state.remove()
         else:
             state.update((pickle.dumps((first, window)),))

@@ -6,12 +6,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lamina.functions import kernels as K
+from lamina.functions import spans as L
 from lamina.operators.clean import join_entangled
 from lamina.operators.graph import assign
-from lamina.operators.postproc import Repair, absorb_image, harmonize_window, repair_slice
+from lamina.operators.postproc import Repair, absorbed, harmonize_window, repair_slice
 from lamina.operators.resample import phase_shift, shift_image
 from lamina.sources import codecs
 
+from . import pixels
+
 
 def flood(mask, steps):
     out, n = np.zeros(mask.shape, int), 0
@@ -100,32 +103,80 @@ def test_entangled_pieces_take_the_label_of_the_largest():
     assert set(np.unique(join_entangled(far, 2, 0.45, "as_written"))) == {0, 1, 2}
 
 
+def line(image, width=64):
+    return L.of_runs(*K.runs(image), width)
+
+
+def image_of(spans, shape, width=64):
+    return K.paint(shape, *L.to_runs(spans, width))
+
+
 def test_repair_merges_pieces_and_relabels_single_ones():
     before, now = np.zeros((30, 30), np.int64), np.zeros((30, 30), np.int64)
     y, x = np.mgrid[:30, :30]
     blob = (y - 14) ** 2 + (x - 14) ** 2 <= 64
     before[blob] = 7
     now[blob & (x < 14)], now[blob & (x > 14)] = 3, 4
-    log = []
-    out = repair_slice(before, now, Repair(), log, 5)
-    assert set(np.unique(out)) == {0, 7} and (out == 7).sum() > 0.95 * blob.sum() and log[0][6] == "merge_union" and log[0][2] == "3,4"
+    spans, edits = repair_slice(line(before), line(now), 64, Repair())
+    out = image_of(spans, now.shape)
+    assert set(np.unique(out)) == {0, 7} and (out == 7).sum() > 0.95 * blob.sum() and edits[0][1].mode == "merge_union" and edits[0][1].ids.tolist() == [3, 4]
     thin = np.zeros((30, 30), np.int64)
     thin[12:17, 2:28] = 9
-    log = []
-    moved = repair_slice(thin, np.where(thin == 9, 5, 0), Repair(), log, 1)
-    assert set(np.unique(moved)) == {0, 9} and log[0][6] == "single_relabel"
+    spans, edits = repair_slice(line(thin), line(np.where(thin == 9, 5, 0)), 64, Repair())
+    assert set(np.unique(image_of(spans, thin.shape))) == {0, 9} and edits[0][1].mode == "single_relabel"
+
+
+def blocks(seed, shape=(18, 22), ids=6, hole=0.1):
+    rng = np.random.default_rng(seed)
+    coarse = rng.integers(0, ids + 1, (-(-shape[0] // 5), -(-shape[1] // 6)))
+    big = np.repeat(np.repeat(coarse, 5, 0), 6, 1)[: shape[0], : shape[1]]
+    return big * (rng.random(shape) >= hole)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([0.0, 0.1, 0.3]))
+def test_repair_against_sets_of_pixels(seed, hole):
+    rng = np.random.default_rng(seed)
+    before = blocks(seed, hole=hole)
+    now = np.roll(before, rng.integers(0, 2, 2), (0, 1)) if seed % 2 else blocks(seed + 1, hole=hole)
+    now = rng.permutation(7)[now] * (now > 0)
+    cfg = Repair(min_area=int(rng.integers(1, 9)), coverage_min=0.4, bbox_iou_min=0.2, solidity_min=0.5, eccentricity_max=0.97, closing_radius=int(rng.integers(0, 3)))
+    spans, edits = repair_slice(line(before), line(now), 64, cfg)
+    want, log = pixels.repair(before, now, cfg)
+    assert (image_of(spans, (24, 28))[:18, :22] == want).all() and [(i, e.ids.tolist(), e.mode) for i, e in edits] == log
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 40))
+def test_absorb_against_sets_of_pixels(seed, least):
+    image = blocks(seed, hole=0.25)
+    assert (image_of(absorbed(line(image), 64, least), image.shape) == pixels.absorb(image, least)).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([0.3, 0.5, 0.9]))
+def test_harmonize_against_sets_of_pixels(seed, least):
+    rng = np.random.default_rng(seed)
+    base = blocks(seed, hole=0.05)
+    stack = np.stack([rng.permutation(7)[base] * (base > 0) * (rng.random(base.shape) < 0.95) if rng.random() < 0.7 else np.zeros_like(base) for _ in range(7)])
+    lines, filled, renamed = [line(s) for s in stack], 0, 0
+    for start in range(3):
+        lines[start + 1 : start + 5], a, b = harmonize_window(lines[start : start + 5], least)
+        filled, renamed = filled + a, renamed + b
+    want, f, r = pixels.harmonize(stack, least)
+    assert (filled, renamed) == (f, r) and all((image_of(x, base.shape) == w).all() for x, w in zip(lines, want, strict=True))
 
 
 def test_absorb_and_harmonize():
     image = np.array([[1, 1, 1, 2], [1, 1, 1, 1], [0, 0, 0, 0], [3, 0, 0, 0]])
-    out = absorb_image(image, 3)
+    out = image_of(absorbed(line(image), 64, 3), image.shape)
     assert out[0, 3] == 1 and out[3, 0] == 3
     slices = [np.zeros((6, 6), np.int64) for _ in range(5)]
     slices[0][1:4, 1:4] = 5
     slices[2][1:4, 1:4] = 8
     slices[4][1:4, 1:5] = 9
-    assert harmonize_window(slices, 0.95) == (18, 9 + 12)
-    assert all((s[1:4, 1:4] == 5).all() for s in slices)
+    rest, *more = harmonize_window([line(s) for s in slices], 0.95)
+    assert more == [18, 9 + 12] and all((image_of(s, (6, 6))[1:4, 1:4] == 5).all() for s in rest)
 
 
 def test_alignment():
@@ -150,3 +201,100 @@ def test_tiff_round_trip(dtype, packed):
     stack = (np.arange(3 * 5 * 7).reshape(3, 5, 7) % 251).astype(dtype)
     data = codecs.write_tiff(stack, packed)
     assert (codecs.read_tiff(data) == stack).all() and codecs.tiff_shape(data) == (3, 5, 7)
+
+
+def tagged(pages):
+    """A little-endian TIFF of (tags, blocks): offsets and sizes of the blocks are filled in."""
+    import struct
+
+    out, here, last = bytearray(b"II*\0\0\0\0\0"), 4, len(pages) - 1
+    for k, (tags, places, sizes, blocks) in enumerate(pages):
+        at = []
+        for b in blocks:
+            at.append(len(out))
+            out += b
+        arrays = {}
+        for tag, values in ((places, at), (sizes, [len(b) for b in blocks])):
+            arrays[tag] = len(out)
+            out += struct.pack(f"<{len(values)}I", *values)
+            tags[tag] = values
+        struct.pack_into("<I", out, here, len(out))
+        out += struct.pack("<H", len(tags))
+        for tag, v in sorted(tags.items()):
+            v = v if isinstance(v, list) else [v]
+            out += struct.pack("<HHII", tag, 4, len(v), v[0] if len(v) == 1 else arrays[tag])
+        here = len(out)
+        out += b"\0\0\0\0"
+    return bytes(out)
+
+
+def lzw_pack(data):
+    """The encoder that belongs to the decoder."""
+    table, out, bits, held, width = {bytes([k]): k for k in range(256)}, bytearray(), 0, 0, 9
+
+    def put(code):
+        nonlocal bits, held
+        held, bits = (held << width) | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append((held >> bits) & 255)
+
+    put(256)
+    following, w = 258, b""
+    for c in data:
+        if w + bytes([c]) in table:
+            w += bytes([c])
+            continue
+        put(table[w])
+        table[w + bytes([c])] = following
+        following += 1
+        if following in (512, 1024, 2048):
+            width += 1
+        if following == 4094:
+            put(256)
+            table, following, width = {bytes([k]): k for k in range(256)}, 258, 9
+        w = bytes([c])
+    if w:
+        put(table[w])
+        following += 1
+        if following in (512, 1024, 2048):
+            width += 1
+    put(257)
+    if bits:
+        out.append((held << (8 - bits)) & 255)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("packing", [1, 5, 8, 32773])
+@pytest.mark.parametrize("predictor", [1, 2])
+def test_tiff_as_tools_write_it(packing, predictor):
+    import zlib
+
+    rng = np.random.default_rng(packing)
+    image = rng.integers(0, 900, (37, 50)).astype(np.uint16) * (rng.random((37, 50)) < 0.6)
+
+    def packed(block):
+        block = block.copy()
+        if predictor == 2:
+            block[:, 1:] = block[:, 1:] - block[:, :-1]
+        raw = block.astype("<u2").tobytes()
+        runs = b"".join(bytes([len(raw[k : k + 128]) - 1]) + raw[k : k + 128] for k in range(0, len(raw), 128))
+        return {1: raw, 5: lzw_pack(raw), 8: zlib.compress(raw), 32773: runs + bytes([128, 255, 7])[:1]}[packing]
+
+    base = {256: 50, 257: 37, 258: 16, 259: packing, 317: predictor, 339: 1}
+    strips = [packed(image[y : y + 10].astype(np.uint16)) for y in range(0, 37, 10)]
+    padded = np.zeros((48, 64), np.uint16)
+    padded[:37, :50] = image
+    tiles = [packed(padded[y : y + 16, x : x + 16]) for y in range(0, 48, 16) for x in range(0, 64, 16)]
+    data = tagged([(base | {278: 10}, 273, 279, strips), (base | {322: 16, 323: 16}, 324, 325, tiles)])
+    assert (codecs.read_tiff(data) == image).all() and codecs.tiff_shape(data) == (2, 37, 50)
+
+
+def test_packbits():
+    assert codecs.packbits(bytes([2, 1, 2, 3, 254, 7, 128, 0, 9])) == bytes([1, 2, 3, 7, 7, 7, 9])
+
+
+@pytest.mark.parametrize("big", [False, True])
+def test_big_tiff(big):
+    stack = np.arange(3 * 5 * 7).reshape(3, 5, 7).astype(np.uint32)
+    assert (codecs.read_tiff(codecs.write_tiff(stack, True, big)) == stack).all()
