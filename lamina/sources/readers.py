@@ -102,8 +102,12 @@ def read_yolo(spark: SparkSession, path: str, *, image_size: int = 1024, suffix:
 
 def yolo_images(spark: SparkSession, path: str, *, suffix: str = ".png") -> DataFrame:
     """(image_name): the images that have a file of boxes, be it empty."""
-    named = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    return named.select(F.concat(file_stem(F.col("path")), F.lit(suffix)).alias("image_name"))
+    # Spark's sources skip empty files, so the names come from the folder; one a slice
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [f.getPath().getName() for f in found]
+    rows = [(n.removesuffix(".txt") + suffix,) for n in names if n.endswith(".txt") and not n.startswith(SIDECAR)]
+    return spark.createDataFrame(rows, "image_name string")
 
 
 def boxes_by_slice(boxes: DataFrame, names: DataFrame, listed: DataFrame | None = None) -> DataFrame:
