@@ -530,8 +530,7 @@ def harmonize_ids(spark, sf_dir):
 def _forest(spark, sf_dir):
     edges = overlap.training_edges(_parts(spark, sf_dir))
     train, held = link.stratified_split(edges)
-    # a depth of 8 and 20 trees keep the query short; the defaults are 400 trees of depth 30
-    return link.train_forest(train, trees=20, depth=8), held
+    return link.train_forest(train), held
 
 
 @query()
