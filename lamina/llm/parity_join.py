@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewise as B
@@ -41,6 +41,7 @@ SEEN = 100_000  # sets that a task remembers, to send each once
 SPREAD = 2  # size of a band: largest over smallest
 PLACES = np.uint64((1 << 16) - 1)  # bits of a part of the wide sketch, less one
 MARKS = 1 << 20
+NULL_IDS = 1 << 46  # numbers from the top that stand for rows without an id, by their text
 TILE = 256  # sets of a bucket that meet in one tile, about
 
 
@@ -414,16 +415,25 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
 
     Defined cases: null texts and texts without words have an empty set, link with
     nothing and are their own component; rows that share a ``doc_id`` are one document
-    with several sets; a null ``doc_id`` is one document after all others, its id (and
-    ``component_id`` if it is alone) null; an empty table gives an empty table; other
+    with several sets; rows without a ``doc_id`` are documents after all others, one for
+    each text, with a null id, and a null ``component_id`` unless they reach a document
+    that has one; ids lie below 2**63 - 2**46; an empty table gives an empty table; other
     columns are not read.
     """
     with scratch(docs.sparkSession) as keep:
-        return keep(written(_classes(docs, k, num, den, sample, tile), "classes"))
+        found = keep(written(_classes(docs, k, num, den, sample, tile), "classes"))
+    back = lambda c: F.when(F.col(c) <= LAST_ID - NULL_IDS, F.col(c))
+    return found.select(back("owner").alias("doc_id"), F.col("n").alias("n_shingles"), back("label").alias("component_id"))
+
+
+def owner_of(doc_id: Column, text: Column) -> Column:
+    """The id of a row, or a number from the top for its text."""
+    return F.coalesce(doc_id.cast("long"), F.lit(LAST_ID) - F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(NULL_IDS - 1))
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int, sample: int, tile: int) -> DataFrame:
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("owner"), "text")
+    """(owner, n, label) of every row."""
+    texts = docs.select(owner_of(F.col("doc_id"), F.col("text")).alias("owner"), "text")
     spark, bands = docs.sparkSession, Bands(num, den)
     with small_batches(spark):
         marks = spark.sparkContext.broadcast(frequent_parts(texts, k, bands, sample=sample))
@@ -490,29 +500,29 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, sample: int, tile: int
             found = found.unionByName(join.links(picked))
             labels = components(found)
         share *= 4
-    out = nodes.join(labels, "node", "left").select("owner", "n", F.coalesce("label", "node").alias("label"))
-    back = lambda c: F.when(F.col(c) == LAST_ID, None).otherwise(F.col(c))
-    return out.select(back("owner").alias("doc_id"), F.col("n").alias("n_shingles"), back("label").alias("component_id"))
+    return nodes.join(labels, "node", "left").select("owner", "n", F.coalesce("label", "node").alias("label"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with the smallest ``doc_id`` of their component.
 
     Of rows that share a ``doc_id`` one stays, the first by text. Rows with a null
-    ``doc_id`` stay unless they link with a document that has one.
+    ``doc_id`` stay unless they link with a document that has one. Columns may have any name.
     """
-    found = similarity_classes(docs, **options)
-    gone = written(found.filter("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_gone")).distinct(), "gone")
-    owner = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID))
-    kept = docs.join(_small(gone), owner == F.col("_gone"), "left_anti")
-    twice = written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    settings = {"k": 5, "num": 80, "den": 100, "sample": 3000, "tile": TILE} | options
+    with scratch(docs.sparkSession) as keep:
+        found = keep(written(_classes(docs, **settings), "classes"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), owner_of(F.col("doc_id"), F.col("text")).alias("owner"), F.col("text").alias("said"))
+    last = LAST_ID - NULL_IDS
+    gone = written(found.filter((F.col("label") <= last) & (F.col("owner") != F.col("label"))).select("owner").distinct(), "gone")
+    kept = rows.join(_small(gone), "owner", "left_anti")
+    twice = written(found.filter(F.col("owner") <= last).groupBy("owner").count().filter("count > 1").select("owner"), "twice")
     if not twice.limit(1).count():
-        return kept
+        return kept.select("row.*")
     twice = _small(twice)
-    same = F.col("doc_id") == F.col("_twice")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).alias("_rank")
-    one = kept.join(twice, same, "left_semi").select("*", first).filter("_rank = 1").drop("_rank")
-    return kept.join(twice, same, "left_anti").unionByName(one)
+    first = F.row_number().over(Window.partitionBy("owner").orderBy("said"))
+    one = kept.join(twice, "owner", "left_semi").withColumn("place", first).filter("place = 1")
+    return kept.join(twice, "owner", "left_anti").select("row").unionByName(one.select("row")).select("row.*")
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -191,11 +191,16 @@ def test_similarity_classes(spark, seed, k, num):
 def test_similarity_classes_edges(spark):
     rows_ = [(5, "one two three four five six"), (5, "an other text of five words here"), (2, "an other text of five words here"), (None, "one two three four five six"), (None, None)]
     frame = spark.createDataFrame(rows_, "doc_id long, text string")
-    found = sorted(((r["doc_id"] or -1), r["component_id"]) for r in parity_join.similarity_classes(frame).collect())
-    assert found == [(-1, 2), (-1, 2), (2, 2), (5, 2), (5, 2)]
+    found = sorted(((r["doc_id"] or -1), r["component_id"] or 0) for r in parity_join.similarity_classes(frame).collect())
+    assert found == [(-1, 0), (-1, 2), (2, 2), (5, 2), (5, 2)]
     assert parity_join.similarity_classes(empty(spark)).count() == 0
     one = parity_join.one_of_each(spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "z")], "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in one.collect()) == [1, 3]
+    odd = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "z"), (None, "a b c d e f"), (None, "y")], "doc_id long, text string")
+    for name in ("_gone", "_twice", "_rank", "owner", "id", "row", "place", "said"):
+        odd = odd.withColumn(name, F.lit("mine"))
+    out = parity_join.one_of_each(odd)
+    assert out.columns == odd.columns and sorted((r["doc_id"] or 0, r["text"], r["row"]) for r in out.collect()) == [(0, "y", "mine"), (1, "a b c d e f", "mine"), (3, "z", "mine")]
 
 
 def test_frequent_shingles_change_no_result(spark):
