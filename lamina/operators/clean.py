@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import kernels as K
+from lamina.functions import spans as L
 from lamina.functions.expressions import swap_axes
-from lamina.operators.graph import drop_duplicate_boxes
-from lamina.operators.overlap import absent_from
-from lamina.operators.regions import RUN, _crop, _frame, fill_objects, region_boxes
+from lamina.model import as_runs
+from lamina.operators.graph import first_come
+from lamina.operators.overlap import Planes, by_windows
+from lamina.operators.regions import RUN, _crop, _frame, fill_objects
 
 
 class _Piece:
@@ -132,21 +134,51 @@ def clean_slices(runs: DataFrame, *, min_area: int = 500, r: int = 2, min_score:
     return harmonize_entangled(fill_objects(runs, min_area=min_area), r=r, min_score=min_score, prune=prune)
 
 
-def missing_boxes(voxels: DataFrame, *, min_area: int = 800, connectivity: int = 1, iou_thresh: float = 0.8) -> tuple[DataFrame, DataFrame]:
+_MISSING = "volume long, z int, ord long, y0 int, x0 int, y1 int, x1 int, third boolean"
+
+
+def missing_boxes(volume: DataFrame, *, min_area: int = 800, connectivity: int = 1, iou_thresh: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Boxes to add on the second and on the third slice of each window of four.
 
     ``z`` of the results is the window's first slice; windows with less than four
-    slices give nothing. What the first slice holds plays no part.
+    slices give nothing. What the first slice holds plays no part. ``volume``: runs or voxels.
     """
-    depth = voxels.groupBy("volume").agg((F.max("z") - 3).alias("_last"))
-    whole = lambda m: m.join(depth, "volume").filter("z >= 0 and z <= _last").drop("_last")
-    boxes = lambda m: region_boxes(whole(m), min_area=min_area, connectivity=connectivity)
-    ranked = lambda b, base: b.withColumn("ord", F.col("ord").cast("long") + F.lit(base))
-    third, fourth, both = boxes(absent_from(voxels, 2, 1)), boxes(absent_from(voxels, 3, 1)), boxes(absent_from(voxels, 3, 2, 1))
-    step = 1 << 32
-    two = drop_duplicate_boxes(ranked(third, 0).unionByName(ranked(fourth, step)), iou_thresh)
-    two = drop_duplicate_boxes(two.unionByName(ranked(both, 2 * step)), iou_thresh)
-    return two, drop_duplicate_boxes(ranked(both, 0), iou_thresh)
+
+    def boxes(planes: Planes, line: L.Slice, rank: int) -> np.ndarray:
+        """Rows (z, rank, number in the window, box) of the pieces of ``min_area`` and more."""
+        z, y, a, b = planes.places(line)
+        if not len(z):
+            return np.zeros((0, 7), np.int64)
+        first, c = np.unique(L.pieces(line, planes.width, connectivity - 1), return_inverse=True)
+        low, high = np.full((len(first), 2), np.iinfo(np.int64).max), np.full((len(first), 2), np.iinfo(np.int64).min)
+        np.minimum.at(low, c, np.stack([y, a], 1))
+        np.maximum.at(high, c, np.stack([y + 1, b], 1))
+        at = z[first]
+        number = np.arange(len(first)) - np.searchsorted(at, at) + 1  # by first run inside the window
+        out = np.concatenate([np.stack([at, np.full(len(at), rank), number], 1), low, high], 1)
+        return out[np.bincount(c, b - a) >= min_area]
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        planes = Planes(rows)
+        found = np.concatenate([boxes(planes, planes.absent(*of), k) for k, of in enumerate(((2, 1), (3, 1), (3, 2, 1)))])
+        found = found[(found[:, 0] >= 0) & (found[:, 0] <= int(rows["_last"].iloc[0]))]
+        found = found[np.lexsort(found[:, 2::-1].T)]
+        two, three = [], []
+        for w in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1):
+            n, box = int((w[:, 1] < 2).sum()), w[:, 3:].astype(np.float64)
+            some = first_come(box[:n], iou_thresh) + list(range(n, len(w)))
+            two.append(w[some][first_come(box[some], iou_thresh)])
+            three.append(w[n:][first_come(box[n:], iou_thresh)])
+        out = np.concatenate(two + three)
+        third = np.arange(len(out)) >= sum(map(len, two))
+        order = out[:, 2] + np.where(third, 0, out[:, 1] << 32)
+        at = {c: out[:, k].astype(np.int32) for c, k in (("z", 0), ("y0", 3), ("x0", 4), ("y1", 5), ("x1", 6))}
+        return pd.DataFrame({"volume": key[0], "ord": order, "third": third} | at)
+
+    runs = as_runs(volume)
+    depth = runs.groupBy("volume").agg((F.max("z") - 3).alias("_last"))
+    found = by_windows(runs.join(depth, "volume"), 1, 2, 3, keep=("_last",)).applyInPandas(one, _MISSING)
+    return found.filter("not third").drop("third"), found.filter("third").drop("third")
 
 
 def update_boxes(boxes: DataFrame, voxels: DataFrame, names: DataFrame, *, min_area: int = 500) -> DataFrame:

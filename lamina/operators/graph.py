@@ -162,21 +162,33 @@ def fill_gaps(tracks: DataFrame, links: DataFrame) -> DataFrame:
     return tracks.join(to, ["volume", "track"], "left").select("volume", "gid", F.coalesce("_to", "track").alias("track"))
 
 
+def first_come(box: np.ndarray, iou_thresh: float) -> list[int]:
+    """The boxes that overlap no kept earlier one with ``iou_thresh`` or more."""
+    area = (box[:, 2:] - box[:, :2]).prod(1)
+    side = np.minimum(box[:, None, 2:], box[None, :, 2:]) - np.maximum(box[:, None, :2], box[None, :, :2]) if len(box) <= 2_000 else None
+    if side is not None:  # all pairs at once
+        inter = np.where((side > 0).all(2), side.prod(2), 0.0)
+        hit = inter / (area[:, None] + area[None, :] - inter + 1e-9) >= iou_thresh
+    kept: list[int] = []
+    for i, b in enumerate(box):
+        if side is not None:
+            if not hit[i, kept].any():
+                kept.append(i)
+            continue
+        k = box[kept]
+        part = np.minimum(k[:, 2:], b[2:]) - np.maximum(k[:, :2], b[:2])
+        inter = np.where((part > 0).all(1), part.prod(1), 0.0)
+        if not (inter / (area[kept] + area[i] - inter + 1e-9) >= iou_thresh).any():
+            kept.append(i)
+    return kept
+
+
 def drop_duplicate_boxes(boxes: DataFrame, iou_thresh: float = 0.8) -> DataFrame:
     """First-come suppression of boxes by slice: ``boxes(volume, z, ord, y0, x0, y1, x1)``."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord", kind="stable")
-        box = rows[["y0", "x0", "y1", "x1"]].to_numpy(np.float64)
-        kept: list[int] = []
-        for i, b in enumerate(box):
-            k = box[kept]
-            side = np.minimum(k[:, 2:], b[2:]) - np.maximum(k[:, :2], b[:2])
-            inter = np.where((side > 0).all(1), side.prod(1), 0.0)
-            union = (k[:, 2:] - k[:, :2]).prod(1) + (b[2:] - b[:2]).prod() - inter + 1e-9
-            if not (inter / union >= iou_thresh).any():
-                kept.append(i)
-        return rows.iloc[kept]
+        return rows.iloc[first_come(rows[["y0", "x0", "y1", "x1"]].to_numpy(np.float64), iou_thresh)]
 
     rows = boxes.select("volume", "z", "ord", "y0", "x0", "y1", "x1")
     return rows.groupBy("volume", "z").applyInPandas(fold, rows.schema)

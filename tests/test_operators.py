@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina import model as D
 from lamina.functions import expressions as X
+from lamina.functions import kernels as K
 from lamina.operators import clean, evaluate, graph, link, overlap, postproc, regions, resample
 
 
@@ -217,6 +218,24 @@ def test_missing_boxes(spark):
     assert sorted((r["image_name"], r["ord"]) for r in new.collect()) == [("1.png", 0), ("1.png", 1), ("1.png", 2)]
 
 
+def joins(df):
+    """Joins in a plan, whose sides Spark may broadcast by a guess."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Join")
+
+
+def test_missing_boxes_of_runs_over_chunks(spark):
+    s = np.zeros((2 * overlap.CHUNK + 6, 12, 30), int)
+    s[::2, 1:6, 2:8] = 1  # on every other slice
+    s[::3, 2:9, 12:20], s[1::3, 2:9, 22:28] = 2, 3
+    two, three = clean.missing_boxes(D.to_runs(voxels(spark, s)), min_area=20)
+    assert joins(two) <= 1  # only with the depth of a volume
+    gone = lambda z, later, *earlier: (s[z + later] > 0) & ~(s[[z + e for e in earlier]] > 0).any(0)
+    box = lambda m: {tuple(int(v) for v in K.box_of(labels == i)) for labels in [K.regions(m)] for i in range(1, labels.max() + 1)}
+    for found, *masks in ((two, (2, 1), (3, 1), (3, 2, 1)), (three, (3, 2, 1))):
+        want = {(z, *b) for z in range(len(s) - 3) for of in masks for b in box(gone(z, *of))}
+        assert {(r["z"], r["y0"], r["x0"], r["y1"], r["x1"]) for r in found.collect()} == want
+
+
 def test_duplicate_boxes_first_come(spark):
     rows = [(0, 0, k, *b) for k, b in enumerate([(0, 0, 10, 10), (0, 0, 10, 9), (0, 0, 10, 7)])]
     kept = graph.drop_duplicate_boxes(spark.createDataFrame(rows, "volume long, z int, ord long, y0 int, x0 int, y1 int, x1 int"))
