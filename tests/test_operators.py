@@ -223,6 +223,17 @@ def joins(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Join")
 
 
+@pytest.mark.parametrize("of", [(3, 2, 1)])
+def test_windows_of_runs_over_chunks(spark, of):
+    s = stack(7, shape=(2 * overlap.CHUNK + 5, 12, 14), fill=0.3)
+    got = overlap.absent_from(D.to_runs(voxels(spark, s)), *of)
+    assert not joins(got)
+    at = {(r["z"], r["y"], x) for r in got.collect() for x in range(r["x0"], r["x1"])}
+    on = lambda z, y, x: 0 <= z < len(s) and s[z, y, x] > 0
+    want = {(z - of[0], y, x) for z, y, x in np.argwhere(s).tolist() if not any(on(z - of[0] + e, y, x) for e in of[1:])}
+    assert at == want
+
+
 def test_missing_boxes_of_runs_over_chunks(spark):
     s = np.zeros((2 * overlap.CHUNK + 6, 12, 30), int)
     s[::2, 1:6, 2:8] = 1  # on every other slice
