@@ -223,7 +223,7 @@ def joins(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Join")
 
 
-@pytest.mark.parametrize("of", [(3, 2, 1)])
+@pytest.mark.parametrize("of", [(2, 1), (3, 2, 1)])
 def test_windows_of_runs_over_chunks(spark, of):
     s = stack(7, shape=(2 * overlap.CHUNK + 5, 12, 14), fill=0.3)
     got = overlap.absent_from(D.to_runs(voxels(spark, s)), *of)
