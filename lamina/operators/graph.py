@@ -92,31 +92,56 @@ def match(pairs: DataFrame, threshold: float) -> DataFrame:
     return rows.select(*pairs.columns)
 
 
+BLOCKS = 1024  # numbers of blocks that one group may hold
+
+
+def _chosen(gt: np.ndarray, pred: np.ndarray, iou: np.ndarray, t: float) -> np.ndarray:
+    """Which pairs of a block the assignment at threshold ``t`` takes."""
+    g, gi = np.unique(gt, return_inverse=True)
+    p, pi = np.unique(pred, return_inverse=True)
+    w = np.zeros((len(g), len(p)))
+    w[gi, pi] = np.where(iou >= t, iou, 0.0)
+    if min(w.shape) == 1:  # a star: the first of its greatest, as ``assign`` has it
+        best = int(np.argmax(w))
+        taken = {divmod(best, len(p))} if w.ravel()[best] > 0 else set()
+    else:
+        taken = {(r, c) for r, c in assign(w) if w[r, c] > 0}
+    return np.array([x in taken for x in zip(gi.tolist(), pi.tolist(), strict=True)], bool)
+
+
 def match_each(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     """``match`` for several thresholds, with ``IoU_threshold``; components are found once.
 
-    Components at the lowest threshold hold those of all others.
+    Components at the lowest threshold hold those of all others. A pair whose ends have no
+    other pair is a block of its own, which needs no search.
     """
-    ok = cut(pairs.filter(F.col("iou").cast("float") >= F.lit(float(min(thresholds))).cast("double")))
+    low = [float(t) for t in thresholds]
+    g, p = (Window.partitionBy("volume", c) for c in ("gt_id", "pred_id"))
+    ok = pairs.filter(F.col("iou").cast("float") >= F.lit(min(low)).cast("double"))
+    alone = (F.count("*").over(g) == 1) & (F.count("*").over(p) == 1)
+    ok = cut(ok.select(*pairs.columns, alone.alias("_alone")))
+    each = F.broadcast(pairs.sparkSession.createDataFrame([(t,) for t in low], "IoU_threshold double"))  # a constant
+    iou = F.col("iou").cast("float")
+    single = ok.filter("_alone").drop("_alone").join(each, (iou >= F.col("IoU_threshold")) & (iou > 0))
+    more = ok.filter("not _alone").drop("_alone")
     # predictions as negative nodes keep the two sides apart
-    edges = ok.select("volume", F.col("gt_id").alias("a"), (-F.col("pred_id")).alias("b"))
+    edges = more.select("volume", F.col("gt_id").alias("a"), (-F.col("pred_id")).alias("b"))
     root = connected_components(edges, keys=["volume"]).select("volume", F.col("node").alias("gt_id"), F.col("root").alias("_block"))
-    low = [float(t) for t in thresholds]
 
-    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        g, gi = np.unique(rows["gt_id"].to_numpy(), return_inverse=True)
-        p, pi = np.unique(rows["pred_id"].to_numpy(), return_inverse=True)
+    def blocks(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_block", kind="stable")
+        gt, pred, block = (rows[c].to_numpy() for c in ("gt_id", "pred_id", "_block"))
         iou = rows["iou"].to_numpy().astype(np.float32).astype(np.float64)
+        ends = [*np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist(), len(rows)]
+        own = rows.drop(columns=["_block", "_group"])
         out = []
         for t in low:
-            w = np.zeros((len(g), len(p)))
-            w[gi, pi] = np.where(iou >= t, iou, 0.0)
-            chosen = {(r, c) for r, c in assign(w) if w[r, c] > 0}
-            out.append(rows[[x in chosen for x in zip(gi.tolist(), pi.tolist(), strict=True)]].drop(columns="_block").assign(IoU_threshold=t))
+            keep = np.concatenate([_chosen(gt[a:b], pred[a:b], iou[a:b], t) for a, b in zip(ends, ends[1:])])
+            out.append(own[keep].assign(IoU_threshold=t))
         return pd.concat(out, ignore_index=True)
 
-    schema = ok.withColumn("IoU_threshold", F.lit(0.0)).schema
-    return ok.join(root, ["volume", "gt_id"]).select(*pairs.columns, "_block").groupBy("volume", "_block").applyInPandas(block, schema)
+    rows = more.join(root, ["volume", "gt_id"]).select(*pairs.columns, "_block", F.floor(F.col("_block") / BLOCKS).alias("_group"))
+    return single.unionByName(rows.groupBy("volume", "_group").applyInPandas(blocks, single.schema))
 
 
 def link_tracks(components: DataFrame, edges: DataFrame, p_thresh: float = 0.5) -> DataFrame:

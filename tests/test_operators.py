@@ -299,6 +299,25 @@ def test_shapes_of_chunks_of_slices(spark):
         assert (r["cy"], r["cx"], r["solidity"], r["eccentricity"]) == pytest.approx((*K.centre(mask), K.solidity(mask), K.eccentricity(mask)))
 
 
+@pytest.mark.parametrize("thresholds", [[0.1, 0.3, 0.5], [0.5]])
+def test_matching_groups_blocks(spark, thresholds):
+    rng = random.Random(4)
+    rows = {(v, rng.randint(1, 40), rng.randint(1, 40)): rng.choice([0.05, 0.1, 0.2, 0.35, 0.5, 0.8]) for v in (0, 1) for _ in range(45)}
+    pairs = spark.createDataFrame([(*k, x) for k, x in rows.items()], "volume long, gt_id long, pred_id long, iou double")
+    found = graph.match_each(pairs, thresholds)
+    assert "_group" in found._jdf.queryExecution().executedPlan().toString()  # not one group a block
+    taken = [tuple(r) for r in found.collect()]
+    for t in thresholds:
+        for v in (0, 1):
+            w = np.zeros((41, 41))
+            for (u, g, p), x in rows.items():
+                if u == v and np.float32(x) >= t:
+                    w[g, p] = np.float32(x)
+            mine = [r for r in taken if r[0] == v and r[4] == t]
+            assert len({r[1] for r in mine}) == len({r[2] for r in mine}) == len(mine)
+            assert sum(np.float32(r[3]) for r in mine) == pytest.approx(sum(w[a, b] for a, b in graph.assign(w)))
+
+
 def test_duplicate_boxes_first_come(spark):
     rows = [(0, 0, k, *b) for k, b in enumerate([(0, 0, 10, 10), (0, 0, 10, 9), (0, 0, 10, 7)])]
     kept = graph.drop_duplicate_boxes(spark.createDataFrame(rows, "volume long, z int, ord long, y0 int, x0 int, y1 int, x1 int"))
