@@ -26,8 +26,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in ``spark.checkpoint.dir`` and read it back.
 
     A table drops the plan's constraints too, which grow from round to round in a loop.
-    It goes when the session ends, or earlier by ``free``.
+    It goes when the session ends, or earlier by ``free``. A table of ``cut`` is given back as it is.
     """
+    if getattr(df, "_lamina_path", None):
+        return df
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lamina-cut-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -318,6 +318,14 @@ def test_matching_groups_blocks(spark, thresholds):
             assert sum(np.float32(r[3]) for r in mine) == pytest.approx(sum(w[a, b] for a, b in graph.assign(w)))
 
 
+def test_summary_counts_voxels_of_pairs(spark):
+    a, b = stack(1), stack(2)
+    gt, pred = (cut(D.to_runs(voxels(spark, s))) for s in (a, b))
+    assert cut(gt) is gt  # a stored table isn't stored again
+    pairs = overlap.instance_pairs(gt, pred)
+    assert [tuple(r) for r in evaluate.semantic_counts(gt, pred, pairs).collect()] == [(0, int(((a > 0) & (b > 0)).sum()), int(((a == 0) & (b > 0)).sum()), int(((a > 0) & (b == 0)).sum()))]
+
+
 def test_duplicate_boxes_first_come(spark):
     rows = [(0, 0, k, *b) for k, b in enumerate([(0, 0, 10, 10), (0, 0, 10, 9), (0, 0, 10, 7)])]
     kept = graph.drop_duplicate_boxes(spark.createDataFrame(rows, "volume long, z int, ord long, y0 int, x0 int, y1 int, x1 int"))
