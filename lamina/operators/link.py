@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.expressions import ratio
 from lamina.model import FEATURES
+from lamina.operators.forest import Forest, train
 from lamina.operators.graph import fill_gaps, gap_links, link_tracks
 from lamina.operators.overlap import build_edges, endpoints, with_global_ids
 from lamina.operators.regions import slice_components
@@ -23,6 +21,7 @@ SCORE_BUCKETS = 4096
 
 def stratified_split(edges: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, validation): the first ``share`` of each class in a seeded hash order."""
+    edges = cut(edges)  # read twice below
     key = F.xxhash64(F.lit(seed), "volume", "z", "dz", "c_src", "c_tgt")
     marked = edges.withColumn("_key", key).withColumn("_bucket", F.shiftright("_key", 64 - SPLIT_BITS))
     counts: dict = {}
@@ -50,31 +49,26 @@ def slice_split(edges: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[D
     return edges.filter(~held), edges.filter(held)
 
 
-def train_forest(edges: DataFrame, *, trees: int = 400, min_leaf: int = 2, depth: int = 30, seed: int = 42):
+def train_forest(edges: DataFrame, *, trees: int = 400, min_leaf: int = 2, depth: int = 30, seed: int = 42) -> Forest:
     """A forest on the edge features with balanced class weights n / (2 n_c)."""
-    n = {r["label_same"]: r["count"] for r in edges.groupBy("label_same").count().collect()}  # two classes
-    total = sum(n.values())
-    weight = F.create_map(*[F.lit(x) for k, c in n.items() for x in (k, total / (2.0 * c))])
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(edges.withColumn("weight", F.element_at(weight, F.col("label_same"))).withColumn("label", F.col("label_same").cast("double")))
-    return RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed).fit(rows)
+    return train(edges, FEATURES, "label_same", trees=trees, min_leaf=min_leaf, depth=depth, seed=seed)
 
 
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Forest, path: str) -> None:
+    model.save(path)
 
 
-def load_model(path: str) -> RandomForestClassificationModel:
-    return RandomForestClassificationModel.load(path)
+def load_model(path: str) -> Forest:
+    return Forest.load(SparkSession.getActiveSession(), path)
 
 
-def score_edges(edges: DataFrame, model) -> DataFrame:
+def score_edges(edges: DataFrame, model: Forest) -> DataFrame:
     """Add ``p_link``, the model's probability that both ends belong together."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(edges)
-    return model.transform(rows).withColumn("p_link", vector_to_array("probability")[1]).select(*edges.columns, "p_link")
+    return model.score(edges, "p_link")
 
 
-def importances(model) -> list[tuple[str, float]]:
-    return sorted(zip(FEATURES, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+def importances(model: Forest) -> list[tuple[str, float]]:
+    return sorted(zip(FEATURES, model.importances(), strict=True), key=lambda x: -x[1])
 
 
 def ranking_scores(scored: DataFrame, label: str = "label_same", score: str = "p_link") -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -444,3 +445,42 @@ def test_ranking_scores_by_hand(spark):
     rows = [(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.2)]
     r = link.ranking_scores(spark.createDataFrame(rows, "label_same int, p_link double")).first()
     assert r["roc_auc"] == pytest.approx((0.5 + 1 + 0 + 1) / 4) and r["average_precision"] == pytest.approx(0.5 * 0.5 + 0.5 * 2 / 3)
+
+
+def test_forest_grows_trees_as_rows_of_a_table_and_scores_by_their_mean(spark):
+    from lamina.model import FEATURES
+    from lamina.operators import forest
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((600, len(FEATURES))), 2)
+    rows = pd.DataFrame(x, columns=FEATURES).assign(label_same=((x[:, 1] > 0.5) ^ (x[:, 3] > 0.3)).astype("int32"), n=np.arange(600))
+    edges = spark.createDataFrame(pd.concat([rows, rows.iloc[:50]]))
+    model = link.train_forest(edges, trees=40)
+    trees = [[np.frombuffer(r[c], t) for c, t in (("feature", np.int8), ("bin", np.uint8), ("child", np.int32), ("p", np.float32))] for r in model.trees.orderBy("tree").collect()]
+    assert len(trees) == 40 and len({t[0].tobytes() for t in trees}) > 30
+    bins = forest.bins_of(forest.keys_of([rows[c].to_numpy() for c in FEATURES], model.cuts), len(FEATURES))
+    want = np.mean([forest.walk(bins, *t) for t in trees], axis=0)
+    for k in range(0, 600, 97):  # one row down one tree, step by step
+        feature, place, child, p = trees[k % 40]
+        node = 0
+        while feature[node] >= 0:
+            node = child[node] + int(bins[feature[node], k] > place[node])
+        assert forest.walk(bins[:, k : k + 1], *trees[k % 40])[0] == p[node]
+    got = link.score_edges(edges, model).toPandas()
+    assert len(got) == 650 and np.allclose(got["p_link"], want[got["n"]])
+    assert ((want > 0.5) == (rows["label_same"] == 1)).mean() > 0.95
+    assert {c for c, _ in link.importances(model)[:2]} == {FEATURES[1], FEATURES[3]}
+
+
+def test_a_tree_takes_the_best_split_and_keeps_its_leaves_and_depth():
+    from lamina.operators import forest
+
+    bins = np.array([[0, 1, 2, 3, 4, 5]], np.uint8)
+    counts = np.array([[400, 400, 400, 0, 0, 0], [0, 0, 0, 400, 400, 400]])
+    feature, place, child, p, gain = forest.grow(bins, counts, (1.0, 1.0), np.random.default_rng(0), depth=30, min_leaf=2)
+    assert feature.tolist() == [0, -1, -1] and place[0] == 2 and child[0] == 1 and p[1:].tolist() == [0, 1] and gain[0] > 0
+    assert forest.walk(bins, feature, place, child, p).tolist() == [0, 0, 0, 1, 1, 1]
+    assert len(forest.grow(bins, counts, (1.0, 1.0), np.random.default_rng(0), depth=0, min_leaf=2)[0]) == 1
+    assert len(forest.grow(bins, counts, (1.0, 1.0), np.random.default_rng(0), depth=30, min_leaf=2000)[0]) == 1
+    keys = forest.keys_of([np.array([0.1, 0.5, 0.6, np.nan])], [[0.5]])
+    assert forest.bins_of(keys, 1).tolist() == [[0, 0, 1, 1]]
