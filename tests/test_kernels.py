@@ -5,11 +5,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lamina.functions import boards as B
 from lamina.functions import kernels as K
 from lamina.functions import spans as L
 from lamina.operators.clean import join_entangled
 from lamina.operators.graph import assign
-from lamina.operators.postproc import Repair, absorbed, harmonize_window, repair_slice
+from lamina.operators.postproc import Repair, absorbed, eccentricity, harmonize_window, repair_slice
 from lamina.operators.resample import phase_shift, shift_image
 from lamina.sources import codecs
 
@@ -188,6 +189,40 @@ def test_alignment():
     assert np.allclose(shift_image(moved, -3, 4)[5:40, 5:30], image[5:40, 5:30])
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_boards_are_masks(seed):
+    """Each step on an integer is the kernel's step on the array; hulls and moments of runs are exact."""
+    rng = np.random.default_rng(seed)
+    h, w, r = (int(v) for v in rng.integers((1, 1, 1), (14, 14, 4)))
+    mask = np.zeros((h + 2 * r, w + 2 * r), bool)
+    mask[r : r + h, r : r + w] = rng.random((h, w)) < rng.uniform(0.3, 0.9)
+    width, (y, a, b, _) = mask.shape[1] + r, K.runs(mask.astype(np.int8))
+    board = B.draw(y.tolist(), a.tolist(), b.tolist(), width)
+    full, border = B.frame(mask.shape, width)
+    same = lambda got, want: B.runs(got, width) == [tuple(v) for v in zip(*(c.tolist() for c in K.runs(want.astype(np.int8))[:3]), strict=True)]
+    assert same(board, mask)
+    assert same(B.drop_small(board, 4, width), K.drop_small(mask, 4))
+    assert same(B.close(board, K.disk(r), full, width), K.close(mask, r))
+    assert same(B.fill_holes(board, full, border, width), K.fill_holes(mask, 1))
+    largest = K.largest(mask)
+    assert same(B.largest(board, width), mask & False if largest is None else largest)
+    if largest is not None:
+        y, a, b, _ = K.runs(largest.astype(np.int8))
+        assert eccentricity(list(zip(y.tolist(), a.tolist(), b.tolist(), strict=True))) == pytest.approx(K.eccentricity(largest), abs=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_small_and_large_windows_decide_alike(seed, monkeypatch):
+    """A window beyond LARGEST is drawn as an array, with the same result."""
+    before, now = blocks(seed), blocks(seed + 100)
+    cfg = Repair(min_area=4, coverage_min=0.3, bbox_iou_min=0.1, solidity_min=0.5, eccentricity_max=0.99, closing_radius=1)
+    small, edits = repair_slice(line(before), line(now), 64, cfg)
+    monkeypatch.setattr(B, "LARGEST", 0)
+    large, others = repair_slice(line(before), line(now), 64, cfg)
+    assert [(i, e.ids.tolist(), e.fit, e.mode) for i, e in edits] == [(i, e.ids.tolist(), e.fit, e.mode) for i, e in others]
+    assert all((p == q).all() for p, q in zip(small, large, strict=True))
+
+
 @pytest.mark.parametrize("dtype", [np.uint8, np.uint16])
 def test_png_round_trip(dtype):
     image = (np.arange(35).reshape(5, 7) * 7).astype(dtype)
