@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 LARGEST = 1 << 14  # bits; a mask beyond that is better drawn as an array
+SLICE = 1 << 16  # bits; a whole slice beyond that is better held as spans
 
 
 @lru_cache(4096)
@@ -31,8 +32,10 @@ def draw(y: list[int], a: list[int], b: list[int], width: int) -> int:
 
 def flood(seed: int, inside: int, width: int) -> int:
     """What of ``inside`` edges connect with the seed."""
+    seed &= inside
     while True:
-        more = (seed | seed << 1 | seed >> 1 | seed << width | seed >> width) & inside
+        seed |= inside & ~(inside + seed)  # a carry runs to the end of each run
+        more = (seed | seed >> 1 | seed << width | seed >> width) & inside
         if more == seed:
             return seed
         seed = more

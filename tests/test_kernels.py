@@ -333,3 +333,18 @@ def test_packbits():
 def test_big_tiff(big):
     stack = np.arange(3 * 5 * 7).reshape(3, 5, 7).astype(np.uint32)
     assert (codecs.read_tiff(codecs.write_tiff(stack, True, big)) == stack).all()
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_repair_of_masks_and_of_spans_decide_alike(seed):
+    """A slice held as one integer an id is repaired as one held as spans, with the same edits."""
+    from lamina.operators.postproc import Frame, repair_masks
+
+    before, now = blocks(seed), blocks(seed + 100, hole=0.2)
+    cfg = Repair(min_area=4, coverage_min=0.3, bbox_iou_min=0.1, solidity_min=0.5, eccentricity_max=0.99, closing_radius=1 + seed % 2, fill_holes=seed % 3 > 0)
+    spans, edits = repair_slice(line(before), line(now), 64, cfg)
+    masks = lambda image: {i: sum(1 << y * 70 + x for y, x in p) for i, p in pixels.by_id(image).items()}
+    got, others = repair_masks(masks(before), masks(now), Frame(64, 70), cfg)
+    assert got == masks(image_of(spans, now.shape))
+    assert [(i, e.ids.tolist(), e.mode) for i, e in edits] == [(i, e.ids.tolist(), e.mode) for i, e in others]
+    assert all(a.fit == pytest.approx(b.fit) for (_, a), (_, b) in zip(edits, others, strict=True))
