@@ -7,8 +7,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.functions import spans as L
 from lamina.session import cut, free
 
+GROUP_EDGES = 1 << 20  # edges of a group that one task joins in memory
+
+
+def _joined_groups(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``connected_components`` of groups of at most ``GROUP_EDGES`` edges, each in one task."""
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(np.concatenate([rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64)]), return_inverse=True)
+        root = L.joined(len(nodes), at[: len(rows)], at[len(rows) :])
+        return pd.DataFrame(dict(zip(keys, key, strict=True)) | {"node": nodes, "root": nodes[root]})
+
+    kinds = dict(edges.dtypes)
+    return edges.groupBy(*keys).applyInPandas(one, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "node long, root long"]))
+
 
 def connected_components(edges: DataFrame, *, keys: list[str] | None = None) -> DataFrame:
     """(keys..., node, root) of the nodes in ``edges(keys..., a, b)``; root: the smallest node.
@@ -16,9 +31,14 @@ def connected_components(edges: DataFrame, *, keys: list[str] | None = None) ->
     Every node points to its smallest neighbour if that is smaller, pointers jump once,
     and edges move to what their ends point to. Edges inside a root vanish, so the graph
     shrinks each round, until none is left. Every round is written to the shared folder.
+    Where each group of the keys has few edges, groups are joined in memory instead.
     """
     keys = keys or []
     edges = cut(edges.select(*keys, "a", "b"))
+    if keys and (edges.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= GROUP_EDGES:
+        labels = cut(_joined_groups(edges, keys))
+        free(edges)
+        return labels
     one = edges.filter("a <> b")
     left = cut(one.unionByName(one.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     ends = edges.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct()

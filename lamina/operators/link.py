@@ -105,21 +105,29 @@ def classification_report(scored: DataFrame, threshold: float = 0.5) -> DataFram
     return c.select("label", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), "support")
 
 
+def _labelled(runs: DataFrame, connectivity: int = 1) -> DataFrame:
+    """Component runs with ``c`` and ``gid``, as they are if ``runs`` have them already."""
+    return cut(runs if "gid" in runs.columns else with_global_ids(slice_components(runs, connectivity)))
+
+
 def _painted(components: DataFrame, tracks: DataFrame) -> DataFrame:
     """Component runs with their track as id."""
     return components.join(tracks, ["volume", "gid"]).select("volume", "z", "y", "x0", "x1", F.col("track").alias("id"))
 
 
 def link_full(runs: DataFrame, model, *, min_px: int = 8, connectivity: int = 1, skip_links: bool = False, p_thresh: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """(scored edges, linked runs) of one pass over neighbouring slices."""
-    parts = cut(with_global_ids(slice_components(runs, connectivity)))
+    """(scored edges, linked runs) of one pass over neighbouring slices. ``runs``: those of a volume, or of its components."""
+    parts = _labelled(runs, connectivity)
     scored = cut(score_edges(build_edges(parts, dzs=(1, 2) if skip_links else (1,), min_px=min_px), model))
     return scored, _painted(parts, link_tracks(parts, scored, p_thresh))
 
 
 def link_iterative(runs: DataFrame, model, *, min_px: int = 8, p_dz1: float = 0.6, p_dz2: float = 0.7, d_max: float = 3.0, ratio_min: float = 0.5) -> dict[str, DataFrame]:
-    """Pass A links neighbouring slices; pass B bridges single missing slices at track ends."""
-    parts = cut(with_global_ids(slice_components(runs)))
+    """Pass A links neighbouring slices; pass B bridges single missing slices at track ends.
+
+    ``runs``: those of a volume, or of its components.
+    """
+    parts = _labelled(runs)
     scored = cut(score_edges(build_edges(parts, dzs=(1, 2), min_px=min_px), model))
     first = scored.filter("dz = 1")
     tracks = cut(link_tracks(parts, first, p_dz1))

@@ -508,3 +508,26 @@ def test_a_tree_takes_the_best_split_and_keeps_its_leaves_and_depth():
     assert len(forest.grow(bins, counts, (1.0, 1.0), np.random.default_rng(0), depth=30, min_leaf=2000)[0]) == 1
     keys = forest.keys_of([np.array([0.1, 0.5, 0.6, np.nan])], [[0.5]])
     assert forest.bins_of(keys, 1).tolist() == [[0, 0, 1, 1]]
+
+
+def test_components_in_memory_and_in_rounds(spark, monkeypatch):
+    """Groups of few edges are joined by one task each, others in rounds over the shared folder, alike."""
+    rng = np.random.default_rng(3)
+    rows = [(int(v), int(a), int(b)) for v, a, b in zip(rng.integers(0, 3, 120), rng.integers(0, 60, 120), rng.integers(0, 60, 120), strict=True)]
+    edges = spark.createDataFrame(rows, "volume long, a long, b long")
+    found = lambda: sorted(map(tuple, graph.connected_components(edges, keys=["volume"]).collect()))
+    small = found()
+    monkeypatch.setattr(graph, "GROUP_EDGES", 0)
+    assert small == found() and len({(v, r) for v, _, r in small}) < len(small)
+    assert graph.connected_components(edges.filter("a > 99"), keys=["volume"]).count() == 0
+
+
+def test_linking_takes_components_as_they_are(spark, monkeypatch):
+    """Runs that carry components aren't labelled again."""
+    s = np.zeros((3, 12, 12), int)
+    s[:, 2:8, 2:8] = 1
+    parts = overlap.with_global_ids(regions.slice_components(D.to_runs(voxels(spark, s))))
+    monkeypatch.setattr(link, "score_edges", lambda edges, model: edges.withColumn("p_link", F.lit(1.0)))
+    monkeypatch.setattr(link, "slice_components", None)
+    for linked in (link.link_full(parts, None)[1], link.link_iterative(parts, None)["linked"]):
+        assert linked.select("id").distinct().count() == 1 and linked.count() == 18
