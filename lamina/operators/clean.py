@@ -42,26 +42,28 @@ class _Piece:
         return out
 
 
-def _background_distance(image: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
-    """Distance of each place to the nearest foreground pixel, known to be within ``reach``."""
-    steps = sorted(((a * a + b * b, a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)))
-    out = np.full(len(at), np.inf)
-    for d2, dy, dx in steps:
-        y, x = at[:, 0] + dy, at[:, 1] + dx
-        ok = np.isinf(out) & (y >= 0) & (x >= 0) & (y < image.shape[0]) & (x < image.shape[1])
-        hit = ok.copy()
-        hit[ok] = image[y[ok], x[ok]] > 0
-        out[hit] = np.sqrt(d2)
+def _background_distance(image: np.ndarray, reach: int) -> np.ndarray:
+    """Distance of each pixel to the nearest foreground pixel of the square within ``reach``; infinite where there is none."""
+    on = image > 0
+    out = np.full(image.shape, np.inf)
+    for d2, dy, dx in sorted(((a * a + b * b, a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)), reverse=True):
+        out[K.shifted(on, -dy, -dx)] = np.sqrt(d2)
     return out
 
 
-def _score(image: np.ndarray, p: _Piece, q: _Piece, r: int) -> float:
+def _median(values: np.ndarray) -> float:
+    values, n = np.sort(values), len(values)
+    return float(values[n // 2] if n % 2 else (values[n // 2 - 1] + values[n // 2]) / 2)
+
+
+def _score(image: np.ndarray, gaps: np.ndarray, p: _Piece, q: _Piece, r: int) -> float:
     box = tuple(f(a, b) for f, a, b in zip((min, min, max, max), p.window, q.window, strict=True))
     gp, gq, mp = p.on("grown", box), q.on("grown", box), p.on("mask", box)
     both, either = gp & gq, (gp | gq).sum()
     touch = (mp & q.on("near", box)).sum() / (int((p.near & ~p.mask).sum()) + 1)
-    corridor = np.argwhere(both & (image[box[0] : box[2], box[1] : box[3]] == 0)) + [box[0], box[1]]
-    gap = float(np.median(_background_distance(image, corridor, r))) if len(corridor) else 0.0
+    here = np.s_[box[0] : box[2], box[1] : box[3]]
+    corridor = gaps[here][both & (image[here] == 0)]
+    gap = _median(corridor) if len(corridor) else 0.0
     apart = 0.0 if (mp & q.on("mask", box)).any() else K.nearest_distance(p.edge, q.edge)
     return 0.2 * (both.sum() / either if either else 0.0) + 0.8 * touch + 0.5 * np.exp(-apart / 2.0) - 0.25 * gap / (r + 1e-6)
 
@@ -81,6 +83,7 @@ def join_entangled(image: np.ndarray, r: int = 2, min_score: float = 0.6, prune:
     at = np.split(order, np.flatnonzero(np.diff(number[order])) + 1) if len(order) else []
     pieces = [_Piece(image.shape, y[k], x0[k], x1[k], int(label[k[0]]), r) for k in at]
     n = len(pieces)
+    gaps = _background_distance(image, r)
     h, w = image.shape
     box = np.array([(max(0, a - r), max(0, b - r), min(h, c + r), min(w, d + r)) for a, b, c, d in (p.box for p in pieces)]).reshape(n, 4)
     group, members = list(range(n)), {i: [i] for i in range(n)}
@@ -96,7 +99,7 @@ def join_entangled(image: np.ndarray, r: int = 2, min_score: float = 0.6, prune:
         for j in np.flatnonzero(near).tolist():
             if pieces[j].label == pieces[i].label or group[i] == group[j]:
                 continue
-            if (s := _score(image, pieces[i], pieces[j], r)) > best:
+            if (s := _score(image, gaps, pieces[i], pieces[j], r)) > best:
                 best, partner = s, j
         if partner is not None and best >= min_score:
             a, b = group[i], group[partner]

@@ -348,3 +348,16 @@ def test_repair_of_masks_and_of_spans_decide_alike(seed):
     assert got == masks(image_of(spans, now.shape))
     assert [(i, e.ids.tolist(), e.mode) for i, e in edits] == [(i, e.ids.tolist(), e.mode) for i, e in others]
     assert all(a.fit == pytest.approx(b.fit) for (_, a), (_, b) in zip(edits, others, strict=True))
+
+
+def test_background_distances_of_a_whole_slice():
+    """Each pixel's distance to the foreground, where it lies within reach."""
+    from lamina.operators.clean import _background_distance, _median
+
+    image = np.random.default_rng(7).integers(0, 12, (9, 11)) // 11
+    got = _background_distance(image, 2)
+    on = np.argwhere(image)
+    for p in np.ndindex(image.shape):
+        near = [np.hypot(*(q - p)) for q in on if np.abs(q - p).max() <= 2]
+        assert got[p] == (min(near) if near else np.inf)
+    assert _median(np.array([3.0, 1.0, 2.0])) == 2 and _median(np.array([4.0, 1.0, 2.0, 3.0])) == 2.5
