@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import spans as L
@@ -175,12 +175,17 @@ def link_tracks(components: DataFrame, edges: DataFrame, p_thresh: float = 0.5)
     return with_singles(nodes, connected_components(kept, keys=["volume"]), ["volume"]).select("volume", F.col("node").alias("gid"), F.col("root").alias("track"))
 
 
+def gap_filter(p_thresh: float, d_max: float, ratio_min: float) -> Column:
+    """Edges that may bridge a missing slice."""
+    return (F.col("dz") == 2) & (F.col("p_link") >= p_thresh) & (F.col("d_centroid") <= d_max) & (F.col("area_ratio") >= ratio_min)
+
+
 def gap_links(edges: DataFrame, forward: DataFrame, backward: DataFrame, *, p_thresh: float = 0.8, d_max: float = 3.0, ratio_min: float = 0.5) -> DataFrame:
     """One-to-one links over one missing slice (dz = 2), between track ends, by p descending.
 
     Ties go by source, then target. Slices are independent, so each is one group.
     """
-    some = edges.filter((F.col("dz") == 2) & (F.col("p_link") >= p_thresh) & (F.col("d_centroid") <= d_max) & (F.col("area_ratio") >= ratio_min))
+    some = edges.filter(gap_filter(p_thresh, d_max, ratio_min))
     ends = some.join(forward.select("volume", "z", F.col("c").alias("c_src")), ["volume", "z", "c_src"], "left_semi")
     ends = ends.join(backward.select("volume", (F.col("z") - 2).alias("z"), F.col("c").alias("c_tgt")), ["volume", "z", "c_tgt"], "left_semi")
 

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamina.functions import spans as L
 from lamina.functions.expressions import ratio
 from lamina.model import FEATURES
+from lamina.operators import graph
 from lamina.operators.forest import Forest, train
-from lamina.operators.graph import fill_gaps, gap_links, link_tracks
-from lamina.operators.overlap import build_edges, endpoints, with_global_ids
+from lamina.operators.graph import fill_gaps, gap_filter, gap_links, link_tracks
+from lamina.operators.overlap import build_edges, endpoints, meetings, with_global_ids
 from lamina.operators.regions import slice_components
 from lamina.session import cut
 
@@ -107,7 +111,7 @@ def classification_report(scored: DataFrame, threshold: float = 0.5) -> DataFram
 
 def _labelled(runs: DataFrame, connectivity: int = 1) -> DataFrame:
     """Component runs with ``c`` and ``gid``, as they are if ``runs`` have them already."""
-    return cut(runs if "gid" in runs.columns else with_global_ids(slice_components(runs, connectivity)))
+    return runs if "gid" in runs.columns else with_global_ids(slice_components(runs, connectivity))
 
 
 def _painted(components: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -115,22 +119,65 @@ def _painted(components: DataFrame, tracks: DataFrame) -> DataFrame:
     return components.join(tracks, ["volume", "gid"]).select("volume", "z", "y", "x0", "x1", F.col("track").alias("id"))
 
 
-def link_full(runs: DataFrame, model, *, min_px: int = 8, connectivity: int = 1, skip_links: bool = False, p_thresh: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """(scored edges, linked runs) of one pass over neighbouring slices. ``runs``: those of a volume, or of its components."""
-    parts = _labelled(runs, connectivity)
-    scored = cut(score_edges(build_edges(parts, dzs=(1, 2) if skip_links else (1,), min_px=min_px), model))
-    return scored, _painted(parts, link_tracks(parts, scored, p_thresh))
+def _components(met: DataFrame) -> DataFrame:
+    return met.filter("dz = 0").select("volume", F.col("gid_src").alias("gid"))
 
 
-def link_iterative(runs: DataFrame, model, *, min_px: int = 8, p_dz1: float = 0.6, p_dz2: float = 0.7, d_max: float = 3.0, ratio_min: float = 0.5) -> dict[str, DataFrame]:
+def link_full(runs: DataFrame, model, *, min_px: int = 8, connectivity: int = 1, skip_links: bool = False, p_thresh: float = 0.6, met: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scored edges, linked runs) of one pass over neighbouring slices.
+
+    ``runs``: those of a volume, or of its components; ``met``: the ``meetings`` of these, if they are known.
+    """
+    parts, dzs = _labelled(runs, connectivity), (1, 2) if skip_links else (1,)
+    met = meetings(parts, dzs=dzs) if met is None else met
+    scored = cut(score_edges(build_edges(met, dzs=dzs, min_px=min_px), model))
+    return scored, _painted(parts, link_tracks(_components(met), scored, p_thresh))
+
+
+def _linked_groups(met: DataFrame, scored: DataFrame, p_dz1: float, gap) -> DataFrame:
+    """(volume, gid, first, track): the tracks of pass A and of pass B, a volume in one task.
+
+    Rows are components (kind 0), pairs on neighbouring slices (1), links of pass A (2) and those that
+    pass B may take (3). An end has no pair of its own track on the next (previous) slice.
+    """
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        kind = rows["kind"].to_numpy()
+        gid = np.unique(rows["a"].to_numpy()[kind == 0])
+        a, b = (np.searchsorted(gid, rows[c].to_numpy()) for c in ("a", "b"))
+        joined = kind == 2
+        root = L.joined(len(gid), a[joined], b[joined])
+        same = (kind == 1) & (root[a] == root[b])
+        going, coming = np.zeros((2, len(gid)), bool)
+        going[a[same]] = coming[b[same]] = True
+        free = np.flatnonzero((kind == 3) & ~going[a] & ~coming[b])
+        p = rows["p_link"].to_numpy()
+        for k in free[np.lexsort((b[free], a[free], -p[free]))].tolist():  # a component is on one slice, so slices don't meet
+            if not (going[a[k]] or coming[b[k]]):
+                going[a[k]] = coming[b[k]] = joined[k] = True
+        return pd.DataFrame({"volume": key[0], "gid": gid, "first": gid[root], "track": gid[L.joined(len(gid), a[joined], b[joined])]})
+
+    row = lambda df, kind, p: df.select("volume", F.lit(kind).alias("kind"), F.col("gid_src").alias("a"), F.col("gid_tgt").alias("b"), p.alias("p_link"))
+    known = row(met.filter("dz = 0"), 0, F.lit(0.0)).unionByName(row(met.filter("dz = 1"), 1, F.lit(0.0)))
+    links = row(scored.filter((F.col("dz") == 1) & (F.col("p_link") >= p_dz1)), 2, F.col("p_link")).unionByName(row(scored.filter(gap), 3, F.col("p_link")))
+    return known.unionByName(links).groupBy("volume").applyInPandas(one, "volume long, gid long, first long, track long")
+
+
+def link_iterative(runs: DataFrame, model, *, met: DataFrame | None = None, min_px: int = 8, p_dz1: float = 0.6, p_dz2: float = 0.7, d_max: float = 3.0, ratio_min: float = 0.5) -> dict[str, DataFrame]:
     """Pass A links neighbouring slices; pass B bridges single missing slices at track ends.
 
-    ``runs``: those of a volume, or of its components.
+    ``runs``: those of a volume, or of its components; ``met``: the ``meetings`` of these, if they are known.
+    Volumes of at most ``graph.GROUP_EDGES`` pairs and components are linked in memory.
     """
     parts = _labelled(runs)
-    scored = cut(score_edges(build_edges(parts, dzs=(1, 2), min_px=min_px), model))
+    met = meetings(parts) if met is None else met
+    scored = cut(score_edges(build_edges(met, dzs=(1, 2), min_px=min_px), model))
     first = scored.filter("dz = 1")
-    tracks = cut(link_tracks(parts, first, p_dz1))
+    if (met.groupBy("volume").count().agg(F.max("count")).first()[0] or 0) <= graph.GROUP_EDGES:
+        both = cut(_linked_groups(met, scored, p_dz1, gap_filter(p_dz2, d_max, ratio_min)))
+        of = lambda c: both.select("volume", "gid", F.col(c).alias("track"))
+        return {"edges_a": first, "linked_a": _painted(parts, of("first")), "edges": scored, "linked": _painted(parts, of("track"))}
+    tracks = cut(link_tracks(_components(met), first, p_dz1))
     on = cut(parts.join(tracks, ["volume", "gid"]))
     links = gap_links(scored, endpoints(on), endpoints(on, forward=False), p_thresh=p_dz2, d_max=d_max, ratio_min=ratio_min)
     return {"edges_a": first, "linked_a": _painted(parts, tracks), "edges": scored, "linked": _painted(parts, fill_gaps(tracks, links))}

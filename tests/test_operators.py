@@ -552,6 +552,34 @@ def test_linking_takes_components_as_they_are(spark, monkeypatch):
         assert linked.select("id").distinct().count() == 1 and linked.count() == 18
 
 
+def test_edges_and_training_edges_come_from_one_table_of_meetings(spark):
+    rng = np.random.default_rng(5)
+    s = np.kron(rng.integers(0, 4, (2, 20, 5, 6)), np.ones((1, 1, 3, 4), int))
+    parts = overlap.with_global_ids(regions.slice_components(D.to_runs(voxels(spark, *s))))
+    met = overlap.meetings(parts)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(overlap.build_edges(met, dzs=(1, 2), min_px=5)) == rows(overlap.build_edges(parts, dzs=(1, 2), min_px=5))
+    assert rows(overlap.training_edges(met, dzs=(2,))) == rows(overlap.training_edges(parts, dzs=(2,)))
+    assert rows(link._components(met)) == rows(parts.select("volume", "gid").distinct())
+
+
+def test_iterative_linking_in_memory_and_over_tables(spark, monkeypatch):
+    """Volumes of few pairs are linked by one task each, others by joins, alike; gaps, ends and ties included."""
+    rng = np.random.default_rng(7)
+    s = np.kron(rng.integers(0, 3, (3, 20, 6, 6)) * (rng.random((3, 20, 6, 6)) < 0.8), np.ones((1, 1, 3, 3), int))
+    runs = D.to_runs(voxels(spark, *s))
+    monkeypatch.setattr(link, "score_edges", lambda edges, model: edges.withColumn("p_link", F.round("IoU", 1)))
+    shuffled = []
+    monkeypatch.setattr(link, "endpoints", lambda *a, f=link.endpoints, **k: shuffled.append(1) or f(*a, **k))
+    found = []
+    for most in (graph.GROUP_EDGES, 0):
+        monkeypatch.setattr(graph, "GROUP_EDGES", most)
+        out = link.link_iterative(runs, None, min_px=3, p_dz1=0.5, p_dz2=0.2, d_max=5.0, ratio_min=0.2)
+        found.append([sorted(map(tuple, out[k].collect())) for k in ("linked_a", "linked")])
+        assert len(shuffled) == (0 if most else 2)
+    assert found[0] == found[1] and found[0][0] != found[0][1]
+
+
 @pytest.mark.parametrize("canvas", [1, 1 << 22])
 def test_grown_slices_against_regions(canvas, monkeypatch):
     """A chunk grown at once equals each id grown alone, slice by slice."""
